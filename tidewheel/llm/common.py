@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word definition used by every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,21 +30,52 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limits the rows of an Arrow batch, so that a Python worker holds few
+    long texts at a time; a lower limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list | pa.Array]], schema: str) -> DataFrame:
     """Applies fn to each Arrow batch as a dict of Python lists; fn returns
-    the columns of schema. Batches are limited by Spark in rows and bytes."""
+    the columns of schema."""
+    bound_batches(df.sparkSession)
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+            out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
+            yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def map_column(df: DataFrame, column: str, fn: Callable[[list], list]) -> DataFrame:
+    """df with a column replaced by what fn makes of its values; all other
+    columns pass through."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.schema.names.index(column)
+            yield b.set_column(k, b.schema.field(k), pa.array(fn(b.column(k).to_pylist()), b.schema.field(k).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def keep_where(df: DataFrame, column: str, fn: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of df for which fn, given a column's values, says true."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(fn(b.column(b.schema.names.index(column)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -17,11 +17,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, map_column
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "secret", "key", "iban")
@@ -158,11 +157,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_i
 def redact_column(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in one string column replaced, and n_chars, if
     there is such a column, counted anew; all else and the row count stay."""
-    @F.pandas_udf("string")
-    def cleaned(x: pd.Series) -> pd.Series:
-        return x.map(redact, na_action="ignore")
-
-    out = docs.withColumn(text, cleaned(F.col(text)))
+    out = map_column(docs, text, lambda x: [redact(v) for v in x])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out

@@ -20,11 +20,10 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import keep_where, map_batches
 
 #: Training documents of each label at most, and lines of each at most.
 SAMPLE, SAMPLE_LINES = 800, 64
@@ -236,8 +235,4 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", id_col: s
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all of their columns, that score threshold or more."""
-    @F.pandas_udf("boolean")
-    def good(x: pd.Series) -> pd.Series:
-        return pd.Series([s >= threshold for s in scores(x.tolist(), model)])
-
-    return docs.where(good(F.col("text")))
+    return keep_where(docs, "text", lambda x: [s >= threshold for s in scores(x, model)])
