@@ -24,6 +24,7 @@ from .common import WORD, checkpoint
 WEIGHTS = (1, 2, 3)
 MOST = 3
 LEVEL = 4096
+SALTS = 32
 _UNIT = 1 << 52
 
 
@@ -62,6 +63,15 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     return rows.withColumn("u", (F.conv(F.substring(key, 1, 13), 16, 10).cast("long") + 0.5) / float(_UNIT))
 
 
+def _with_source(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined to one row of facts for each source (of). A source may hold
+    a third of all rows, so its rows are dealt over SALTS keys, and its facts
+    repeated under each."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["of", "salt"], how).drop("salt")
+
+
 def allocate(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of every row of
     sizes(). Rows without an id or source take part like others; sources
@@ -73,7 +83,7 @@ def allocate(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     p = F.col("rest") / F.col("source_size")
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
     # The rank grows with the odds and lies in (0, 1).
-    ranked = rows.withColumn("of", of).join(named, "of").withColumn("rank", F.when((p > 0) & (p < 1), odds / (1 + odds)).when(p >= 1, F.lit(0.0)).otherwise(F.lit(1.0)))
+    ranked = _with_source(rows.withColumn("of", of), named).withColumn("rank", F.when((p > 0) & (p < 1), odds / (1 + odds)).when(p >= 1, F.lit(0.0)).otherwise(F.lit(1.0)))
     bin1 = F.least(F.floor(F.col("rank") * LEVEL), F.lit(LEVEL - 1))
     ranked = ranked.withColumn("b1", bin1).withColumn("b2", F.least(F.floor((F.col("rank") * LEVEL - bin1) * LEVEL), F.lit(LEVEL - 1)))
     ranked = checkpoint(ranked.select("of", "doc_id", "size", "source_size", "target", "whole", "rest", "rank", "b1", "b2"))
@@ -88,10 +98,10 @@ def allocate(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         return upto.where("upto > rest and upto - n < rest").select("of", F.col(name).alias(f"{name}_at"), (F.col("upto") - F.col("n")).alias(f"{name}_before"))
 
     first = checkpoint(reached(ranked.where("rest > 0"), "b1", "zero"))
-    inside = ranked.join(first, "of").where("b1 = b1_at")
+    inside = _with_source(ranked, first).where("b1 = b1_at")
     second = checkpoint(reached(inside, "b2", "b1_before"))
-    edge = first.join(second, "of", "left").select(F.col("of").alias("of_edge"), "b1_at", "b2_at", "b2_before")
-    joined = ranked.join(edge, F.col("of") == F.col("of_edge"), "left").drop("of_edge")
+    edge = first.join(second, "of", "left").select("of", "b1_at", "b2_at", "b2_before")
+    joined = _with_source(ranked, edge, "left")
     # Only the documents of the last bin are ordered; a source has about 1 / LEVEL^2 of its documents there.
     last = F.coalesce((F.col("b1") == F.col("b1_at")) & (F.col("b2") == F.col("b2_at")), F.lit(False))
     nth = Window.partitionBy("of").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
