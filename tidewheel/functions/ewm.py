@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from datetime import timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..series import Series, spine
+from ..series import Series, arrow_schema, spine
 
 NAN = float("nan")
 
@@ -89,8 +89,10 @@ def _averages(x: Series, products: list, combine, sampler: Series | None, trigge
     values = ["x", *(["y"] if y is not None else [])]
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ts timestamp_ntz", "cycle int", "value double"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "cycle"], kind="stable")
+    arrow = arrow_schema(schema)
+
+    def one(table: pa.Table) -> pa.Table:
+        pdf = table.sort_by([("ts", "ascending"), ("cycle", "ascending")]).to_pandas()
         at = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
         on = {c.removesuffix("_ticked"): pdf[c].tolist() for c in ticks}
         data = {v: pdf[v].astype("float64").tolist() for v in values}
@@ -112,13 +114,12 @@ def _averages(x: Series, products: list, combine, sampler: Series | None, trigge
             else:
                 sampled = False
             if (on["_trigger"][i] if "_trigger" in on else sampled) and n >= min_periods:
-                rows_out.append((pdf["ts"].iat[i], pdf["cycle"].iat[i], combine(now, stats[0].debias)))
-        out = pd.DataFrame({"ts": pd.Series([r[0] for r in rows_out], dtype="datetime64[us]"), "cycle": pd.Series([r[1] for r in rows_out], dtype="int32"), "value": pd.Series([r[2] for r in rows_out], dtype="float64")})
-        for k, name in enumerate(keys):
-            out.insert(k, name, pdf[name].iloc[0])
-        return out
+                rows_out.append((at[i], int(pdf["cycle"].iat[i]), combine(now, stats[0].debias)))
+        held = {k: pa.array([table[k][0].as_py()] * len(rows_out), arrow.field(k).type) for k in keys}
+        made = {"ts": pa.array([r[0] for r in rows_out], pa.int64()).cast(pa.timestamp("us")), "cycle": pa.array([r[1] for r in rows_out], pa.int32()), "value": pa.array([r[2] for r in rows_out], pa.float64())}
+        return pa.table([(held | made)[c.name] for c in arrow], schema=arrow)
 
-    return Series((rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0).alias("_all"))).applyInPandas(one, schema), keys)
+    return Series((rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0).alias("_all"))).applyInArrow(one, schema), keys)
 
 
 def ema(x: Series, min_periods: int = 1, adjust: bool = True, horizon: int | None = None, ignore_na: bool = False, trigger: Series | None = None, sampler: Series | None = None, reset: Series | None = None, **parameter) -> Series:

@@ -9,7 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INF, NAN = F.lit(float("inf")), F.lit(float("nan"))
+
+def _inf() -> Column:
+    return F.lit(float("inf"))
+
+
+def _not_a_number() -> Column:
+    return F.lit(float("nan"))
 
 
 def add(x: Column, y: Column) -> Column:
@@ -26,7 +32,7 @@ def multiply(x: Column, y: Column) -> Column:
 
 def divide(x: Column, y: Column) -> Column:
     x, y = x.cast("double"), y.cast("double")
-    return F.when(y != 0, x / F.nullif(y, F.lit(0.0))).when((x == 0) | F.isnan(x), NAN).when(x > 0, INF).when(x < 0, -INF)
+    return F.when(y != 0, x / F.nullif(y, F.lit(0.0))).when((x == 0) | F.isnan(x), _not_a_number()).when(x > 0, _inf()).when(x < 0, -_inf())
 
 
 def power(x: Column, y: Column) -> Column:
@@ -68,7 +74,7 @@ def _log(name: str) -> Callable[[Column], Column]:
 
     def log(x: Column) -> Column:
         x = x.cast("double")
-        return F.when(F.isnan(x) | (x < 0), NAN).when(x == 0, -INF).otherwise(fn(x))
+        return F.when(F.isnan(x) | (x < 0), _not_a_number()).when(x == 0, -_inf()).otherwise(fn(x))
 
     log.__name__ = name
     return log
@@ -96,7 +102,7 @@ def erf(x: Column) -> Column:
     near = F.aggregate(term, F.struct(a.alias("t"), a.alias("s")), lambda acc, n: F.struct((acc["t"] * a * a * 2.0 / (2.0 * n + 1.0)).alias("t"), (acc["s"] + acc["t"] * a * a * 2.0 / (2.0 * n + 1.0)).alias("s")), lambda acc: acc["s"] * F.exp(-a * a) * 1.1283791670955126)
     below = F.aggregate(F.sequence(F.lit(_FRACTION), F.lit(1), F.lit(-1)), a, lambda acc, n: a + n / 2.0 / acc)
     far = 1.0 - F.exp(-a * a) * 0.5641895835477563 / below
-    return F.when(F.isnan(a), NAN).otherwise(F.signum(x.cast("double")) * F.when(a < 2.5, near).when(a < 27, far).otherwise(1.0))
+    return F.when(F.isnan(a), _not_a_number()).otherwise(F.signum(x.cast("double")) * F.when(a < 2.5, near).when(a < 27, far).otherwise(1.0))
 
 
 def eq(x: Column, y: Column) -> Column:

@@ -15,11 +15,11 @@ from dataclasses import dataclass, field
 from datetime import timedelta
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import RunSpec, Series, spine
+from ..series import RunSpec, Series, arrow_schema, spine
 
 
 @dataclass
@@ -104,22 +104,23 @@ def fold(step: Step, kind: str, keys: tuple[str, ...] = (), init: dict[str, Any]
     an input or an alarm ticks, per key; kind is the DDL type of what it
     emits. A key's ticks are held in memory while it is folded."""
     rows = spine(keys, **inputs)
-    names, init, end = tuple(inputs), init or {}, pd.Timestamp(run.end) if run else None
+    names, init, end = tuple(inputs), init or {}, run.end if run else None
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "ts timestamp_ntz", "cycle int", f"value {kind}"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "cycle"], kind="stable")
-        columns = {n: (pdf[n].tolist(), pdf[f"{n}_ticked"].tolist()) for n in names}
-        stream = ((t, c, {n: v[i] for n, (v, on) in columns.items() if on[i]}) for i, (t, c) in enumerate(zip(pdf["ts"], pdf["cycle"], strict=True)))
+    arrow = arrow_schema(schema)
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("ts", "ascending"), ("cycle", "ascending")])
+        columns = {n: (table[n].to_pylist(), table[f"{n}_ticked"].to_pylist()) for n in names}
+        stream = ((t, c, {n: v[i] for n, (v, on) in columns.items() if on[i]}) for i, (t, c) in enumerate(zip(table["ts"].to_pylist(), table["cycle"].to_pylist(), strict=True)))
         got = run_fold(stream, names, step, init, end, stop)
-        out = pd.DataFrame({"ts": pd.Series([g[0] for g in got], dtype="datetime64[us]"), "cycle": pd.Series([g[1] for g in got], dtype="int32"), "value": pd.Series([g[2] for g in got], dtype=None if got else "object")})
-        for n, k in enumerate(keys):
-            out.insert(n, k, pdf[k].iloc[0])
-        return out
+        held = {k: [table[k][0].as_py()] * len(got) for k in keys}
+        made = held | {n: [g[i] for g in got] for i, n in enumerate(("ts", "cycle", "value"))}
+        return pa.table([pa.array(made[c.name], c.type) for c in arrow], schema=arrow)  # from lists, so that NaN stays NaN
 
     grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0).alias("_all"))
-    return Series(grouped.applyInPandas(one, schema), keys)
+    return Series(grouped.applyInArrow(one, schema), keys)
 
 
 def node(kind: str, **state: Any) -> Callable[[Step], Callable[..., Series]]:
@@ -161,11 +162,11 @@ def sync(basket: Series, member: str, members: list, threshold: timedelta, outpu
     if trigger is not None:
         named["trigger"] = trigger
     kind = dict(basket.df.dtypes)["value"]
-    size = len(members)
+    size, triggered = len(members), trigger is not None
 
     def step(c: Context) -> None:
         s = c.state
-        if s["open"] is None and (c.ticked("trigger") if trigger is not None else any(n[0] == "m" for n in c.ticked_now)):
+        if s["open"] is None and (c.ticked("trigger") if triggered else any(n[0] == "m" for n in c.ticked_now)):
             s["open"], s["got"] = c.schedule("deadline", threshold), {}
         if s["open"] is not None:
             for k in range(size):

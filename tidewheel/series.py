@@ -140,6 +140,14 @@ def spark_type(t: object) -> str:
     raise TypeError(f"no column type for {t!r}: opaque Python objects are not values of a series")
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL schema."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def session(app: str = "tidewheel", **conf: str) -> SparkSession:
     """A session with the settings the library relies on."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
