@@ -495,3 +495,28 @@ def burst_mode(spark, d):
 def last_value_mode(spark, d):
     df = table(spark, d, "orders").select("o_orderpriority", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("value")).distinct()
     return shown(generators.push(df, ("o_orderpriority",), generators.PushMode.LAST_VALUE))
+
+
+@query(f"select user_id, ts, round((c - v) / 2, 6) as click, v > 50 as high from ({LATEST}) where c is not null and v is not null")
+def frame_algebra(spark, d):
+    from ..frame import Frame
+
+    click, view = Frame(x=events(spark, d, "click")), Frame(x=events(spark, d, "view"))
+    out = Frame(click=((click - view) / 2).x, high=a.combine_latest(lambda _, v: m.gt(v, F.lit(50.0)), click.x, view.x))
+    return out.wide().select("user_id", "ts", F.round("click", 6).alias("click"), "high")
+
+
+@query("select e.user_id, e.ts, count(o.ts)::bigint as n, round(coalesce(sum(o.value), 0), 6) as total from events e left join events o on e.user_id = o.user_id and o.ts >= e.ts - interval 2 day and o.ts < e.ts - interval 1 day group by e.user_id, e.ts")
+def values_between_days(spark, d):
+    from ..operators import dynamics as dy
+
+    s = dy.values_between(events(spark, d), timedelta(days=2), timedelta(days=1), end_policy=dy.Range.EXCLUSIVE)
+    return shown(s, n=F.size("value").cast("long"), total=F.round(F.aggregate("value", F.lit(0.0), lambda x, e: x + e["value"]), 6))
+
+
+@query("""select x.user_id, x.ts, count(*) over (partition by x.user_id order by x.ts) as value from events x join (select user_id, min(ts) as a from events where event_type = 'signup' group by user_id) l on x.user_id = l.user_id and x.ts >= l.a where x.event_type = 'click'""")
+def dynamic_sub_graph(spark, d):
+    from ..operators import dynamics as dy
+
+    firsts = table(spark, d, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("ts")).withColumn("value", F.lit(True))
+    return shown(dy.dynamic(Series.of(firsts, keys=KEY), lambda x: a.count(x), attached={"x": events(spark, d, "click")}))
