@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..series import Series, arrow_schema, spine
+from ..shipping import ship
 
 NAN = float("nan")
 
@@ -84,6 +85,7 @@ class Average:
 def _averages(x: Series, products: list, combine, sampler: Series | None, trigger: Series | None, reset: Series | None, min_periods: int, make, y: Series | None = None) -> Series:
     parts = {"x": x} | {n: s for n, s in (("y", y), ("_sampler", sampler), ("_trigger", trigger), ("_reset", reset)) if s is not None}
     rows = spine(x.keys, **parts)
+    ship(rows.sparkSession)
     keys, kinds = x.keys, dict(rows.dtypes)
     ticks = [c for c in rows.columns if c.endswith("_ticked")]
     values = ["x", *(["y"] if y is not None else [])]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..series import RunSpec, Series, arrow_schema, spine
+from ..shipping import ship
 
 
 @dataclass
@@ -104,6 +105,7 @@ def fold(step: Step, kind: str, keys: tuple[str, ...] = (), init: dict[str, Any]
     an input or an alarm ticks, per key; kind is the DDL type of what it
     emits. A key's ticks are held in memory while it is folded."""
     rows = spine(keys, **inputs)
+    ship(rows.sparkSession)
     names, init, end = tuple(inputs), init or {}, run.end if run else None
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "ts timestamp_ntz", "cycle int", f"value {kind}"])

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import Context, Step
+from ..shipping import ship
 
 
 def read_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -70,6 +71,7 @@ def fold(df: DataFrame, keys: tuple[str, ...], step: Step, kind: str, init: dict
     value): `name` says which input ticks. Ticks of one batch are taken in
     time order; those older than a key's last one count as at that time.
     State is dropped after a key has been idle, by wall clock."""
+    ship(df.sparkSession)
     types = dict(df.dtypes)
     out = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "ts timestamp_ntz", "cycle int", f"value {kind}"])
 
