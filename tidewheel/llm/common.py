@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: White space of the word definition used by every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch at most.
@@ -32,7 +34,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def bound_batches(spark: SparkSession) -> None:
     """Limits the rows of an Arrow batch, so that a Python worker holds few
-    long texts at a time; a lower limit of the session stays."""
+    long texts at a time; a lower limit of the session stays. Also brings this
+    package to the workers."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
