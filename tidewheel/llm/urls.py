@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Rules (host, path, allowed).
 RULES = (("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False))
 #: Words that mark a host as an example of rejected ones.
@@ -136,7 +138,8 @@ def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id", rules: tu
     # Kept apart by explode(), which the optimiser does not merge into the uses of codes.
     codes = F.explode(F.array(symbols(F.concat("host", "path")))).alias("codes")
     rows = parts.select("page_id", "host", "path", name.alias("rule"), allowed.alias("allowed"), is_suspect(F.col("host")).alias("suspect"), codes)
-    model = ratios(counts(rows.select("suspect", "codes"))).first()["model"]  # SPAN numbers
+    found = checkpoint(counts(rows.select("suspect", "codes")))  # SPAN rows at most, used by every order
+    model = ratios(found).first()["model"]  # SPAN numbers
     written = F.expr("cast(split('" + ",".join(f"{x:.4f}" for x in model) + "', ',') as array<double>)")
     scored = rows.select("page_id", "host", "path", "rule", "allowed", "suspect", mean_ratio(F.col("codes"), written).alias("score"))
     limit = threshold(scored.select("suspect", "score")).first()["threshold"]
