@@ -58,13 +58,18 @@ class Rules:
 class Frame:
     """The spine of a statistic, with its window; `of` names the inputs."""
 
-    def __init__(self, rules: Rules, keys: tuple[str, ...], weights: Series | None = None, **inputs: Series) -> None:
+    def __init__(self, rules: Rules, keys: tuple[str, ...], weights: Series | None = None, together: str | None = None, **inputs: Series) -> None:
         self.rules, self.keys, self.names = rules, keys, tuple(inputs)
         first = next(iter(inputs.values()))
         parts = dict(inputs)
         extra = {"sampler": rules.sampler, "trigger": rules.trigger, "reset": rules.reset, "weights": weights}
         parts |= {f"_{n}": s for n, s in extra.items() if s is not None}
         rows = spine(keys, **parts)
+        if together:  # x and y tick in the same cycles: others raise, or don't count
+            both = F.col("x_ticked") & F.col("y_ticked")
+            if together == "strict":
+                both = F.when(F.col("x_ticked") == F.col("y_ticked"), both).otherwise(F.raise_error(F.lit("x and y must tick together")))
+            rows = rows.withColumn("_both", both).withColumn("x_ticked", F.col("_both")).withColumn("y_ticked", F.col("_both"))
         sampled = F.col("_sampler_ticked") if rules.sampler is not None else F.col(f"{self.names[0]}_ticked")
         asked = F.col("_trigger_ticked") if rules.trigger is not None else sampled
         cleared = F.col("_reset_ticked") if rules.reset is not None else F.lit(False)
@@ -282,26 +287,15 @@ def sem(x: Series, r: Rules, ddof: int = 1, weights: Series | None = None) -> Se
     return f.result(F.sqrt(_ratio(_ratio(F.greatest(m, F.lit(0.0)), w - ddof), w)))
 
 
-def _together(x: Series, y: Series, allow_non_overlapping: bool) -> tuple[Series, Series]:
-    both = spine(x.keys, x=x, y=y)
-    if not allow_non_overlapping:
-        both = both.withColumn("x_ticked", F.when(F.col("x_ticked") == F.col("y_ticked"), F.col("x_ticked")).otherwise(F.raise_error(F.lit("x and y must tick together"))))
-    both = both.where(F.col("x_ticked") & F.col("y_ticked"))
-    pick = lambda n: Series(both.select(*x.keys, "ts", "cycle", F.col(n).alias("value")), x.keys)
-    return pick("x"), pick("y")
-
-
 def cov(x: Series, y: Series, r: Rules, ddof: int = 1, weights: Series | None = None, allow_non_overlapping: bool = False) -> Series:
-    x, y = _together(x, y, allow_non_overlapping)
-    f = Frame(r, x.keys, weights, x=x, y=y)
+    f = Frame(r, x.keys, weights, "overlap" if allow_non_overlapping else "strict", x=x, y=y)
     w, m = _moments(f, weights, "x_ok", "y_ok")
     return f.result(_ratio(m, w - ddof))
 
 
 def corr(x: Series, y: Series, r: Rules, weights: Series | None = None, allow_non_overlapping: bool = False) -> Series:
     """Correlation; NaN where either variance is under 1e-9."""
-    x, y = _together(x, y, allow_non_overlapping)
-    f = Frame(r, x.keys, weights, x=x, y=y)
+    f = Frame(r, x.keys, weights, "overlap" if allow_non_overlapping else "strict", x=x, y=y)
     (w, xy), (_, xx), (_, yy) = _moments(f, weights, "x_ok", "y_ok"), _moments(f, weights, "x_ok", "x_ok"), _moments(f, weights, "y_ok", "y_ok")
     flat = (xx / F.nullif(w, F.lit(0.0)) < 1e-9) | (yy / F.nullif(w, F.lit(0.0)) < 1e-9)
     return f.result(F.when(flat, F.lit(NAN)).otherwise(_ratio(xy, F.sqrt(xx) * F.sqrt(yy))))

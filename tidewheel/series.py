@@ -107,6 +107,10 @@ def spine(keys: tuple[str, ...], **series: Series) -> DataFrame:
     with for each name: ``name`` the latest value, ``name_ticked`` and
     ``name_valid`` (has ticked so far). One shuffle, on the keys; series
     without keys take part in every key only if no series has keys."""
+    if len(series) == 1:  # its ticks are their own spine: no union, no grouping
+        ((name, s),) = series.items()
+        yes = F.lit(True)
+        return s.df.select(*keys, "ts", "cycle", F.col("value").alias(name), yes.alias(f"{name}_ticked"), yes.alias(f"{name}_valid"))
     parts = None
     for name, s in series.items():
         cols = [F.struct(F.col("value")).alias(f"_{n}") if n == name else F.lit(None).cast(f"struct<value:{dict(o.df.dtypes)['value']}>").alias(f"_{n}") for n, o in series.items()]
