@@ -120,7 +120,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, sigs, next_text, next_sigs): the row after each in
     descending doc_id, the first after the last. No task orders more than the
     rows of one bucket of ids, or one part of the bucket numbers."""
-    rows = docs.withColumn("bucket", F.shiftright("doc_id", BUCKET_BITS))
+    # The filter is what the joins below imply; said here, both uses of the shuffled texts are the same and one is made.
+    rows = docs.withColumn("bucket", F.shiftright("doc_id", BUCKET_BITS)).where("bucket is not null")
     numbers = rows.select("bucket").distinct().repartitionByRange("bucket")
     numbers = checkpoint(numbers.withColumn("part", F.spark_partition_id()))
     heads = numbers.groupBy("part").agg(F.max("bucket").alias("head"))  # a row for each partition
@@ -153,7 +154,8 @@ def edited_likeness(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     near_edited and near_next compare with the edited text and with the next
     document. Repeated ids are ordered by text. Rows without an id have no
     next document: an empty text stands for it and near_next is 0."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # An alias of a column to its own name would keep Spark from reusing the shuffle in with_next().
+    rows = docs.select("doc_id" if id_col == "doc_id" else F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = with_next(rows.where("doc_id is not null"))
     loose = rows.where("doc_id is null").select("doc_id", "text", signatures(F.col("text")).alias("sigs"), F.lit("").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_sigs"))
     out = ordered.union(loose).withColumn("n_chars", F.length("text").cast("long"))
