@@ -387,6 +387,36 @@ def test_planted_passages(spark):
     assert len(got) < 40 * chaining.FEW
 
 
+def test_passages_of_frequent_lines(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, want = [], set()
+    for block in range(8):
+        lines = [word(12) for _ in range(5)]
+        for line in lines:  # each occurs first in documents of its own
+            rows += [(len(rows) + k, " ".join(word(40) + line + word(40))) for k in range(chaining.FEW + 4)]
+        for _ in range(2 + 10 * (block % 2)):
+            want.add(10000 + len(want))
+            rows.append((max(want), " ".join(word(30) + sum(lines, []) + word(30))))
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {x for r in got for x in (r["doc_id"], r["other_id"])} == want
+
+
+def test_stretches_and_masks():
+    text = " ".join(f"w{x}" for x in np.random.default_rng(9).integers(0, 10**6, 300))
+    pos, h = chaining.seeds(text)
+    run, mask = chaining.stretches(pos, h, np.full(len(h), len(h)))
+    need = chaining.least_span() - chaining.K
+    for i, p in enumerate(pos.tolist()):
+        last = next((q for q in pos.tolist() if q - p >= need), None)
+        assert int(mask[i]) == (0 if last is None else sum(1 << (q - p - 1) for q in pos.tolist() if p < q <= last))
+    at = np.flatnonzero(mask)
+    m = np.stack([np.ones(len(at), int), np.zeros(len(at), int), pos[at], pos[at] + 7, at, at + 2, mask[at]], 1)
+    got, end = chaining.expand(m), max(int(p) + int(x).bit_length() for p, x in zip(pos[at], mask[at], strict=True))
+    assert got[:, 2].tolist() == [q for q in pos.tolist() if q <= end] and got[:, 4].tolist() == list(range(len(got)))
+    assert len(set(run[at].tolist())) == len(at)
+
+
 def test_best_chain_by_enumeration():
     rng = np.random.default_rng(4)
     for _ in range(50):
