@@ -417,6 +417,24 @@ def test_stretches_and_masks():
     assert len(set(run[at].tolist())) == len(at)
 
 
+def pair_matches(x: str, y: str) -> np.ndarray:
+    """The matches of two texts, sorted, whatever the frequency of a seed."""
+    (p, g), (q, h) = chaining.seeds(x), chaining.seeds(y)
+    return np.array(sorted((1, 0, int(p[i]), int(q[j]), i, j) for i in range(len(g)) for j in range(len(h)) if g[i] == h[j]), np.int64).reshape(-1, 6)
+
+
+@pytest.mark.parametrize("one_way", [chaining.collinear, chaining.passages])
+def test_exact_passage_before_a_shifted_phrase(one_way):
+    rng = np.random.default_rng(10)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    for k in range(300):
+        n, more = ((51, 16), (55, 16), (60, 20), (80, 20))[k % 4]
+        exact, phrase = word(n), word(16)
+        x, y = word(20) + exact + word(3 + more) + phrase + word(20), word(20) + exact + word(3) + phrase + word(20)
+        got = one_way(pair_matches(" ".join(x), " ".join(y)))
+        assert any(r[2] < 20 + chaining.WINDOW and r[3] > 20 + n - chaining.WINDOW for r in got)
+
+
 def test_best_chain_by_enumeration():
     rng = np.random.default_rng(4)
     for _ in range(50):
