@@ -232,6 +232,14 @@ def test_pii_kinds_and_redaction():
     assert pii.redact(None) is None and pii.redact("plain words") == "plain words"
 
 
+@pytest.mark.parametrize("n", [512, 513, 800, 5000])
+def test_long_values_are_whole(n):
+    value = ("aB3_" * n)[:n]
+    assert pii.redact(f"token={value} end") == "token=<SECRET> end"
+    assert pii.redact(f"see https://{value}:{value}@h.io/x") == "see https://<LOGIN>/x"
+    assert pii.redact("token=" * n) == "token=" * n and pii.redact("token=" * n + "x1") == "token=<SECRET>"
+
+
 # op5
 
 

@@ -33,8 +33,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOGIN = re.compile(r"[^\s/@:?#]{1,256}:[^\s/@?#]{1,256}(?=@)")
-_VALUE = re.compile(r"""["']?[ ]?[=:][ ]?["']?([A-Za-z0-9+/_.~!$%^&*=-]{8,512})""")
+_LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++(?=@)")
+_VALUE = re.compile(r"""["']?[ ]?[=:][ ]?["']?([A-Za-z0-9+/_.~!$%^&*=-]{8,}+)""")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"[ :]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 
@@ -111,9 +111,10 @@ def _expand(text: str, anchors: Iterator[tuple[int, tuple[str, int]]]) -> Iterat
             if m := _LOGIN.match(text, last + 1):
                 yield m.start(), 4, m.end()
         elif what == "c":
-            if at >= secret and (m := _VALUE.match(text, last + 1)) and any(c in _DIGITS for c in m[1]):
-                secret = m.end(1)
-                yield m.start(1), 5, secret
+            if at >= secret and (m := _VALUE.match(text, last + 1)):
+                secret = m.end(1)  # without a digit too: no end of such a value has one
+                if any(c in _DIGITS for c in m[1]):
+                    yield m.start(1), 5, secret
         elif what == "k":
             if (at == 0 or not text[at - 1].isalnum()) and (m := _KEY.match(text, at)):
                 yield at, 6, m.end()
