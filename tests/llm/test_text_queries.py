@@ -361,6 +361,15 @@ def test_main_text(page):
     assert htmltree.main_text(page) == WANT
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'data-id="sidebar"', "title='a hidden id=menu'", 'data-x="1" data-class=nav', "data-hidden", 'alt=x:hidden style = "visibility: hidden"'])
+def test_words_in_other_attributes(attributes):
+    side = "<div><p>Short, other text.</p></div>"
+    assert htmltree.main_text(f"<body><div {attributes}>{ARTICLE}</div>{side}</body>") == WANT
+    for mark in ("hidden", "HIDDEN=''", "id = sidebar", "class='a menu'", 'role="navigation"', "aria-hidden=true"):
+        assert htmltree.main_text(f"<body><div {attributes} {mark}>{ARTICLE}</div><article>{ARTICLE}</article></body>") == WANT
+        assert htmltree._is_furniture("div", f" {attributes} {mark}") and not htmltree._is_furniture("div", f" {attributes}")
+
+
 def test_main_text_of_little():
     assert htmltree.main_text(None) == htmltree.main_text("") == htmltree.main_text("<nav>x</nav>") == ""
     assert htmltree.main_text("<p>Hi</p>") == "Hi" and htmltree.main_text("just text") == "just text"
