@@ -381,7 +381,7 @@ def test_main_text_of_little():
 
 def test_chaining_query(spark, texts):
     got = queries.op8_chaining(spark, DATA).collect()
-    assert all(r["doc_id"] > r["other_id"] and r["similarity"] >= chaining.SIMILARITY for r in got)
+    assert all(r["doc_id"] > r["other_id"] and r["similarity"] >= chaining.SIMILARITY and r["n_words"] >= chaining.MIN_WORDS for r in got)
     grams = defaultdict(set)
     for i, t in texts.items():
         w = t.lower().split()
@@ -399,7 +399,7 @@ def test_planted_passages(spark):
     rows = [(i, " ".join(word(100) + (shared if i % 2 else edited) + word(100))) for i in range(40)] + [(100 + i, " ".join(word(300))) for i in range(20)]
     got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x for r in got for x in (r["doc_id"], r["other_id"])} == set(range(40))
-    assert all(100 <= r["start_word"] < r["end_word"] <= 192 and r["n_words"] >= chaining.least_span() for r in got)
+    assert all(100 <= r["start_word"] < r["end_word"] <= 192 and r["n_words"] >= chaining.LONG for r in got)
     assert {r["doc_id"] for r in got if r["n_words"] >= 70} >= set(range(2, 40))
     assert len(got) < 40 * chaining.FEW
 
@@ -419,37 +419,136 @@ def test_passages_of_frequent_lines(spark):
     assert {x for r in got for x in (r["doc_id"], r["other_id"])} == want
 
 
-def test_stretches_and_masks():
-    text = " ".join(f"w{x}" for x in np.random.default_rng(9).integers(0, 10**6, 300))
-    pos, h = chaining.seeds(text)
-    run, mask = chaining.stretches(pos, h, np.full(len(h), len(h)))
-    need = chaining.least_span() - chaining.K
-    for i, p in enumerate(pos.tolist()):
-        last = next((q for q in pos.tolist() if q - p >= need), None)
-        assert int(mask[i]) == (0 if last is None else sum(1 << (q - p - 1) for q in pos.tolist() if p < q <= last))
-    at = np.flatnonzero(mask)
-    m = np.stack([np.ones(len(at), int), np.zeros(len(at), int), pos[at], pos[at] + 7, at, at + 2, mask[at]], 1)
-    got, end = chaining.expand(m), max(int(p) + int(x).bit_length() for p, x in zip(pos[at], mask[at], strict=True))
-    assert got[:, 2].tolist() == [q for q in pos.tolist() if q <= end] and got[:, 4].tolist() == list(range(len(got)))
-    assert len(set(run[at].tolist())) == len(at)
-
-
-def pair_matches(x: str, y: str) -> np.ndarray:
-    """The matches of two texts, sorted, whatever the frequency of a seed."""
-    (p, g), (q, h) = chaining.seeds(x), chaining.seeds(y)
-    return np.array(sorted((1, 0, int(p[i]), int(q[j]), i, j) for i in range(len(g)) for j in range(len(h)) if g[i] == h[j]), np.int64).reshape(-1, 6)
+def shared_runs(x: list[str], y: list[str], least: int) -> list[tuple[int, int, int]]:
+    """(start, other start, words) of the maximal runs of equal words."""
+    out = []
+    for d in range(-len(y) + 1, len(x)):
+        i = max(0, d)
+        while i < min(len(x), len(y) + d):
+            n = 0
+            while i + n < min(len(x), len(y) + d) and x[i + n] == y[i + n - d]:
+                n += 1
+            if n >= least:
+                out.append((i, i - d, n))
+            i += n + 1
+    return out
+
+
+def test_exact_passages_by_brute_force(spark):
+    """Pairs, bounds and similarity of all equal passages; several between two
+    texts, one of them twice in one text, two texts under one id."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    pool = [word(int(n)) for n in rng.integers(50, 90, 6)]
+    rows = []
+    for i in range(24):
+        t = word(30)
+        for k in rng.choice(6, 2, replace=False).tolist():
+            t += pool[k] + word(80)
+        rows.append((i // 2 if i < 4 else i, t))
+    rows.append((90, word(20) + pool[0] + word(100) + pool[0] + word(20)))
+    got = chaining.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    want = set()
+    for (i, x), (j, y) in itertools.combinations(rows, 2):
+        (i, x), (j, y) = sorted([(i, x), (j, y)], key=lambda r: -r[0]) if i != j else ((i, x), (j, y))
+        for p, q, n in shared_runs(x, y, 50):
+            want.add((i, j, *(((p, p + n), (q, q + n)) if i != j else sorted(((p, p + n), (q, q + n))))))
+    have = {(r["doc_id"], r["other_id"], *(((r["start_word"], r["end_word"]), (r["other_start"], r["other_end"])) if r["doc_id"] != r["other_id"] else sorted(((r["start_word"], r["end_word"]), (r["other_start"], r["other_end"]))))) for r in got}
+    assert have == want and len(want) > 50 and any(a == b for a, b, _, _ in want) and all(r["similarity"] == 1 for r in got)
+
+
+def test_pairs_over_frequent_sentences(spark):
+    """Each of 20 pairs shares 120 words: five sentences that 20 other
+    documents hold too."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, pairs = [], []
+    for _ in range(20):
+        sentences = [word(24) for _ in range(5)]
+        for s in sentences:
+            rows += [(len(rows) + k, word(40) + s + word(40)) for k in range(20)]
+        pairs.append((len(rows) + 1, len(rows)))
+        rows += [(len(rows) + k, word(30) + sum(sentences, []) + word(30)) for k in range(2)]
+    got = chaining.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["other_id"], r["start_word"], r["n_words"]) for r in sorted(got)] == [(a, b, 30, 120) for a, b in sorted(pairs)]
+
+
+def test_classes_of_many_are_connected(spark):
+    """60 texts share a passage of 60 words; the first in order shares only
+    part of it. All are linked, and equal texts by a row of their own."""
+    rng = np.random.default_rng(13)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    common_ = word(60)
+    rows = [(i, " ".join(word(20) + common_ + word(20))) for i in range(60)] + [(100 + i, " ".join(word(20) + common_[10:] + word(20))) for i in range(10)]
+    copy = " ".join(word(70))
+    rows += [(200 + i, copy) for i in range(30)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    root = {i: i for i, _ in rows}
 
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-@pytest.mark.parametrize("one_way", [chaining.collinear, chaining.passages])
-def test_exact_passage_before_a_shifted_phrase(one_way):
+    for r in got:
+        root[find(r["doc_id"])] = find(r["other_id"])
+    assert len({find(i) for i in range(60)} | {find(100 + i) for i in range(10)}) == 1 and len({find(i) for i in root}) == 2
+    assert sorted((r["doc_id"], r["other_id"], r["n_words"]) for r in got if r["other_id"] == 200) == [(200 + i, 200, 70) for i in range(1, 30)]
+
+
+def test_alignment_by_brute_force():
+    """Steps between two seeds have the fewest edits, and stretches are the
+    best ones there are."""
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        a, b = (rng.integers(0, 3, n).tolist() for n in rng.integers(0, 9, 2))
+        steps = chaining._edits(a, b)
+        best = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [best[i - 1, j] + 1] if i else []
+                ways += [best[i, j - 1] + 1] if j else []
+                ways += [best[i - 1, j - 1] + (a[i - 1] != b[j - 1])] if i and j else []
+                best[i, j] = min(ways, default=0)
+        assert sum(not s[0] for s in steps) == best[len(a), len(b)] and (sum(s[1] for s in steps), sum(s[2] for s in steps)) == (len(a), len(b))
+        row = [(1, 1, 1) if rng.random() < 0.8 else (0, 1, 1) for _ in range(60)]
+        score = np.concatenate([[0], np.cumsum([1.0 if s[0] else -chaining.SIMILARITY / (1 - chaining.SIMILARITY) for s in row])])
+        top = max(score[j] - score[i] for i in range(60) for j in range(i, 61))
+        got = chaining.stretches(0, 0, row, 1)
+        assert max(score[e] - score[s] for s, e, _, _, _ in got) == pytest.approx(top) and all(v >= chaining.SIMILARITY - 1e-9 for *_, v in got)
+
+
+def test_exact_passage_before_a_shifted_phrase(spark):
     rng = np.random.default_rng(10)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
-    for k in range(300):
+    rows, want = [], set()
+    for k in range(100):
         n, more = ((51, 16), (55, 16), (60, 20), (80, 20))[k % 4]
         exact, phrase = word(n), word(16)
-        x, y = word(20) + exact + word(3 + more) + phrase + word(20), word(20) + exact + word(3) + phrase + word(20)
-        got = one_way(pair_matches(" ".join(x), " ".join(y)))
-        assert any(r[2] < 20 + chaining.WINDOW and r[3] > 20 + n - chaining.WINDOW for r in got)
+        rows += [(2 * k, " ".join(word(20) + exact + word(3) + phrase + word(20))), (2 * k + 1, " ".join(word(20) + exact + word(3 + more) + phrase + word(20)))]
+        want.add((2 * k + 1, 2 * k, 20, 20 + n))
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"], r["start_word"]) for r in got} == {w[:3] for w in want}
+    assert sum((r["doc_id"], r["other_id"], r["start_word"], r["end_word"]) in want or r["end_word"] == r["start_word"] + len(rows[r["doc_id"]][1].split()) - 40 for r in got) == 100
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Of passages with one in 10 to 20 words replaced, those that hold a
+    stretch long and alike enough."""
+    rng = np.random.default_rng(15)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, truth = [], {}
+    for n, every in ((100, 14), (100, 10), (60, 20), (60, 10)):
+        for _ in range(100):
+            x = word(n)
+            keep = rng.random(n) > 1 / every
+            i = len(rows)
+            rows += [(i, " ".join(word(30) + x + word(30))), (i + 1, " ".join(word(30) + [w if k else word(1)[0] for w, k in zip(x, keep, strict=True)] + word(30)))]
+            if chaining.stretches(0, 0, [(int(k), 1, 1) for k in keep], chaining.MIN_WORDS):
+                truth[i + 1] = (n, every)
+    got = {r["doc_id"] for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {k: np.mean([i in got for i, v in truth.items() if v == k]) for k in set(truth.values())}
+    assert len(truth) > 300 and recall[100, 14] > 0.98 and recall[100, 10] > 0.95 and recall[60, 20] > 0.9 and recall[60, 10] > 0.8, recall
 
 
 def test_best_chain_by_enumeration():
