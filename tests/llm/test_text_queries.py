@@ -607,35 +607,58 @@ def test_host_path_and_rules(spark):
     assert [tuple(r)[1:] for r in got] == [("www.example.com", "/en/1", "www.example.com/en/", True), ("example.com", "", None, None), ("a.net", "/es/x", "net/es/", False), ("", "", None, None), ("", "", None, None), ("b.example.com", "/en", "com/", True), ("evilnet", "/fr/", None, None), ("a:", "//b/c", None, None)]
 
 
-def test_url_scores_by_hand(spark):
-    got = {r["page_id"]: r for r in queries.op10_urls(spark, DATA).collect()}
-    counts = {k: defaultdict(int) for k in ("yes", "no")}
-    suspect = re.compile(r"(?:^|[.-])(?:" + "|".join(urls.SUSPECT) + r")(?:$|[.-])")
-
-    def symbols(t):
-        return [ord(c) - 96 if "a" <= c <= "z" else 27 if c.isdigit() else urls._OTHER.get(c, 31) for c in t.lower()]
-
-    for r in got.values():
-        last, side = [0, 0], "no" if suspect.search(r["host"]) else "yes"
-        for c in symbols(r["host"] + r["path"]):
-            counts[side][(*last, c)] += 1
-            last = [last[1], c]
-
-    def p(side, gram):
-        v = 1 / 32
-        for n in (1, 2, 3):
-            here = sum(x for g, x in counts[side].items() if g[3 - n :] == gram[3 - n :])
-            over = sum(x for g, x in counts[side].items() if g[3 - n : 2] == gram[3 - n : 2])
-            v = (here + urls.PRIOR * v) / (over + urls.PRIOR)
+def url_scores(texts: dict[str, str]) -> tuple[dict[str, float], float | None]:
+    """(score of each text, limit) from {text: host}, in plain Python."""
+    n, counted, seen = urls.ORDER, {s: defaultdict(int) for s in ("yes0", "yes1", "no")}, set()
+    suspect = {t: bool(re.search(r"(?:^|[.-])(?:" + "|".join(urls.SUSPECT) + r")(?:$|[.-])", h)) for t, h in texts.items()}
+    half = {t: zlib.crc32(h.encode()) % 2 for t, h in texts.items()}
+    assert {half[t] for t in texts if not suspect[t]} == {0, 1}
+    for t in texts:
+        padded = urls.START * n + t.lower()
+        for i in range(len(t)):
+            seen.add(padded[i + n])
+            for k in range(n + 1):
+                counted["no" if suspect[t] else f"yes{half[t]}"][padded[i + n - k : i + n + 1]] += 1
+    kinds, total = {s: defaultdict(int) for s in counted}, {s: defaultdict(int) for s in counted}
+    for s, c in counted.items():
+        for g, v in c.items():
+            kinds[s][g[:-1]] += 1
+            total[s][g[:-1]] += v
+
+    def p(s, context, c):
+        v = 1 / len(seen)
+        for k in range(n + 1):
+            x = context[n - k :]
+            if total[s][x]:
+                v = (counted[s][x + c] + kinds[s][x] * v) / (total[s][x] + kinds[s][x])
         return v
 
-    for r in list(got.values())[:10]:
-        last, total, s = [0, 0], 0.0, symbols(r["host"] + r["path"])
-        for c in s:
-            total += math.log(p("no", (*last, c)) / p("yes", (*last, c)))
-            last = [last[1], c]
-        assert r["score"] == pytest.approx(total / len(s), abs=1e-3)
-        assert r["rule"] is None or r["verdict"] == ("allow" if r["rule"] in ("com/", "www.example.com/en/") else "block")
+    score = {}
+    for t in texts:
+        padded, other = urls.START * n + t.lower(), f"yes{1 - half[t]}"
+        score[t] = sum(math.log(p("no", padded[i : i + n], padded[i + n]) / p(other, padded[i : i + n], padded[i + n])) for i in range(len(t))) / max(1, len(t))
+    base = sorted(score[t] for t in texts if not suspect[t])
+    return score, max(0.0, base[math.ceil(urls.KEEP * len(base)) - 1]) if any(suspect.values()) else None
+
+
+def test_url_scores_and_verdicts(spark):
+    rows = queries.op10_urls(spark, DATA).collect()
+    score, limit = url_scores({r["host"] + r["path"]: r["host"] for r in rows})
+    for r in rows:
+        assert r["score"] == pytest.approx(score[r["host"] + r["path"]], abs=1e-9)
+        allowed = r["rule"] in ("com/", "www.example.com/en/") if r["rule"] else limit is None or r["score"] <= limit
+        assert r["verdict"] == ("allow" if allowed else "block")
+
+
+def test_url_verdicts_reach_beyond_the_list(spark):
+    rng = np.random.default_rng(5)
+    names = ["garden", "harbour", "kitchen", "museum", "library", "weather", "railway", "football", "painting", "village"]
+    good = [f"http://{rng.choice(names)}{rng.choice(names)}{k}.org/{rng.choice(names)}/{k}" for k in range(1000)]
+    bad = [f"http://{w}.{rng.choice(names)}{k}.org/win/{k}" for k, w in enumerate(["casino", "pills", "poker"] * 20)]
+    new = ["http://mycasino.org/win/1", "http://bestpills24.org/win/2", "http://onlinepoker.org/win/3"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(good + bad + new)], "page_id long, url string")
+    got = {r["url"]: r["verdict"] for r in urls.judge(df, rules=()).join(df, "page_id").collect()}
+    assert all(got[u] == "block" for u in new) and all(got[u] == "block" for u in bad) and sum(got[u] == "block" for u in good) <= 20
 
 
 # All of them, on odd and empty tables

@@ -1,21 +1,30 @@
 """URL filter by a character language-model ratio.
 
 Two variable-order Markov models, of accepted and of rejected URLs, give each
-character of a URL's host and path a smoothed probability after the 2, 1 or 0
-characters before it. The mean difference of the log-likelihoods, less a
-calibrated threshold, is the verdict where no rule of a list fits.
-
-The models learn from all URLs: those whose host has a word of SUSPECT between
-separators are examples of rejected ones, and all others of accepted ones, so
-that the models generalise from whole words to their parts in other hosts and
-paths. Characters are mapped to 32 symbols, so the model is a table of 32^3
-floats (128 kB), whatever the corpus; the driver places it in the plan as a literal.
+character of a URL's host and path a probability after the up to ORDER
+characters before it; each order is smoothed by the next shorter one
+(Witten-Bell). The mean log-likelihood ratio of a URL, compared with a
+calibrated limit, is the verdict where no rule fits.
+
+Examples: URLs whose host has a word of SUSPECT between separators are the
+rejected ones, all others the accepted ones; each different host with path
+counts once. Accepted hosts are dealt into two halves by hash, and each half is
+scored by what the other one and all rejected examples teach, so that no URL
+vouches for itself. The limit is what all but 1 - KEEP of the accepted URLs
+stay under, and never below even odds. So a host without a word of the list is
+rejected where its characters read more like rejected hosts than those of
+nearly all others do.
+
+The model is a table with a row for each context and character that occurs,
+in Unicode, so it grows with the URLs and is looked up by a join; only the
+number of characters and the limit come to the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint
 
@@ -23,12 +32,12 @@ from .common import checkpoint
 RULES = (("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False))
 #: Words that mark a host as an example of rejected ones.
 SUSPECT = ("spam", "casino", "pills", "bets", "betting", "porn", "xxx", "viagra", "poker", "ads", "adserver", "loans", "malware", "phishing")
-#: Letters have symbols 1 to 26; digits 27; then these; other characters 31; the start is 0.
-_OTHER = {".": 28, "-": 29, "/": 30}
-ORDER, BITS = 2, 5
-SPAN = 1 << (BITS * (ORDER + 1))
-#: Weight of the shorter context in each estimate (Witten-Bell style, fixed).
-PRIOR = 4.0
+#: Characters of context at most.
+ORDER = 5
+#: Share of the accepted examples that the limit keeps.
+KEEP = 0.98
+#: Stands before the first character.
+START = "\u0002"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -52,96 +61,92 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, bool], ...]
     return name.cast("string"), allowed.cast("boolean")
 
 
-def symbols(text: Column) -> Column:
-    """Array of the symbols of a text."""
-    low = F.lower(text)
-
-    def symbol(c: Column) -> Column:
-        code = F.ascii(c)
-        out = F.when((code >= 97) & (code <= 122), code - 96).when((code >= 48) & (code <= 57), 27)
-        for mark, n in _OTHER.items():
-            out = out.when(code == ord(mark), n)
-        return out.otherwise(31)
-
-    return F.when(F.length(low) > 0, F.transform(F.split(low, ""), symbol)).otherwise(F.array().cast("array<int>"))
-
-
-def grams(codes: str) -> Column:
-    """Array of the last ORDER + 1 symbols at each position of an array
-    column, as one integer."""
+def is_suspect(host: Column, words: tuple[str, ...] = SUSPECT) -> Column:
+    return F.coalesce(host.rlike(r"(?:^|[.-])(?:" + "|".join(words) + r")(?:$|[.-])"), F.lit(False))
 
-    def gram(c: Column, i: Column) -> Column:
-        out = F.lit(0)
-        for k in range(ORDER, 0, -1):
-            out = F.shiftleft(out.bitwiseOR(F.coalesce(F.get(codes, i - k), F.lit(0))), BITS)
-        return out.bitwiseOR(c)
 
-    return F.transform(codes, gram)
+def half(host: Column) -> Column:
+    return (F.crc32(host.cast("binary")) % 2).cast("int")
 
 
-def is_suspect(host: Column, words: tuple[str, ...] = SUSPECT) -> Column:
-    return F.coalesce(host.rlike(r"(?:^|[.-])(?:" + "|".join(words) + r")(?:$|[.-])"), F.lit(False))
+def grams(text: Column) -> Column:
+    """Array of each character of a text with the ORDER characters before it."""
+    chars = F.split(F.concat(F.lit(START * ORDER), F.lower(text)), "")
+    each = F.transform(F.sequence(F.lit(1), F.length(F.lower(text))), lambda i: F.array_join(F.slice(chars, i, ORDER + 1), ""))
+    return F.when(F.length(text) > 0, each).otherwise(F.array().cast("array<string>"))
 
 
 def counts(urls: DataFrame) -> DataFrame:
-    """(gram, yes, no): how often each gram is in accepted and in rejected
-    examples, from (codes, suspect)."""
-    rows = urls.select("suspect", F.explode(grams("codes")).alias("gram"))
-    return rows.groupBy("gram").agg(F.count(F.when(~F.col("suspect"), 1)).alias("yes"), F.count(F.when(F.col("suspect"), 1)).alias("no"))
-
-
-def ratios(found: DataFrame) -> DataFrame:
-    """One row (model): the log-likelihood ratio, rejected over accepted, of
-    each gram's last symbol after those before it, by gram. Counts of each
-    order are smoothed by the next shorter one, the shortest by an even
-    distribution over the symbols."""
-    out = found.sparkSession.range(SPAN).select(F.col("id").cast("int").alias("gram"))
-    p = {k: F.lit(1.0 / (1 << BITS)) for k in ("yes", "no")}
-    for n in range(1, ORDER + 2):
-        last = F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1))
-        before = F.shiftright(last, BITS)
-        here = found.groupBy(last.alias(f"g{n}")).agg(F.sum("yes").alias(f"yes{n}"), F.sum("no").alias(f"no{n}"))
-        over = found.groupBy(before.alias(f"c{n}")).agg(F.sum("yes").alias(f"of_yes{n}"), F.sum("no").alias(f"of_no{n}"))
-        out = out.join(here, last == F.col(f"g{n}"), "left").join(over, before == F.col(f"c{n}"), "left")
-        p = {k: (F.coalesce(F.col(f"{k}{n}"), F.lit(0)) + PRIOR * v) / (F.coalesce(F.col(f"of_{k}{n}"), F.lit(0)) + PRIOR) for k, v in p.items()}
-    rows = out.select(F.struct("gram", F.log(p["no"] / p["yes"]).alias("ratio")).alias("x"))
-    return rows.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["ratio"]).alias("model"))
-
-
-def mean_ratio(codes: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio of a URL's symbols; 0 without any."""
-
-    def step(acc: Column, c: Column) -> Column:
-        gram = F.shiftleft(acc["last"], BITS).bitwiseOR(c).bitwiseAND(F.lit(SPAN - 1))
-        return F.struct(gram.alias("last"), (acc["sum"] + F.get(model, gram)).alias("sum"))
-
-    total = F.aggregate(codes, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
-    return total / F.greatest(F.size(codes), F.lit(1))
-
-
-def threshold(scored: DataFrame) -> DataFrame:
-    """One row (threshold): the point that lies equally many standard
-    deviations from the mean score of accepted and of rejected examples; null
-    (nothing is rejected) without examples of both."""
-    s = scored.agg(*[f(F.when(F.col("suspect") == v, F.col("score"))).alias(f"{n}{int(v)}") for v in (False, True) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
-    lo, hi = F.col("sd0") + 1e-6, F.col("sd1") + 1e-6
-    return s.select(((F.col("mean0") * hi + F.col("mean1") * lo) / (lo + hi)).alias("threshold"))
+    """(gram, yes0, yes1, no): how often each gram is in the accepted examples
+    of both halves and in rejected examples, from (text, suspect, half)."""
+    rows = urls.select("suspect", "half", F.explode(grams(F.col("text"))).alias("gram"))
+    times = lambda c: F.count(F.when(c, 1))
+    yes = [times(~F.col("suspect") & (F.col("half") == k)).alias(f"yes{k}") for k in (0, 1)]
+    return rows.groupBy("gram").agg(*yes, times(F.col("suspect")).alias("no"))
+
+
+def ratios(found: DataFrame, size: int) -> DataFrame:
+    """(gram, ratio0, ratio1): the log-likelihood ratio, rejected over
+    accepted, of each gram's last character after those before it, for each
+    half by what the other one teaches. From the empty context to ORDER
+    characters, a context's counts are smoothed by the next shorter one,
+    weighted with the number of different characters that follow it
+    (Witten-Bell); below the empty one all `size` characters are even."""
+    sides = ("yes0", "yes1", "no")
+    shorter = None
+    for n in range(ORDER + 1):
+        key = F.substring("gram", ORDER + 1 - n, n + 1)
+        here = found.groupBy(key.alias("gram")).agg(*[F.sum(c).alias(c) for c in sides])
+        context = Window.partitionBy(F.substring("gram", 1, n))
+        here = here.select("gram", *sides, *[f(c).over(context).alias(f"{k}_{c}") for c in sides for k, f in (("all", F.sum), ("kinds", lambda x: F.sum((F.col(x) > 0).cast("long"))))])
+        if shorter is None:
+            here = here.withColumns({f"p_{c}": F.lit(1.0 / size) for c in sides})
+        else:
+            here = here.withColumn("tail", F.substring("gram", 2, n)).join(shorter, "tail")
+        p = [F.when(F.col(f"all_{c}") > 0, (F.col(c) + F.col(f"kinds_{c}") * F.col(f"p_{c}")) / (F.col(f"all_{c}") + F.col(f"kinds_{c}"))).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in sides]
+        shorter = here.select(F.col("gram").alias("tail"), *p)
+    return shorter.select(F.col("tail").alias("gram"), *[F.log(F.col("p_no") / F.col(f"p_yes{1 - k}")).alias(f"ratio{k}") for k in (0, 1)])
+
+
+def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """(text, suspect, score): the mean ratio of the characters of each text.
+    Frequent grams meet the model in a join that adaptive execution can split;
+    the texts are told apart by a hash until their sums are made."""
+    of = F.xxhash64("text", F.length("text")).alias("of")
+    rows = urls.select(of, "half", F.explode(grams(F.col("text"))).alias("gram")).join(model, "gram")
+    sums = rows.groupBy("of").agg(F.avg(F.when(F.col("half") == 0, F.col("ratio0")).otherwise(F.col("ratio1"))).alias("score"))
+    return urls.select("text", "suspect", of).join(sums, "of", "left").select("text", "suspect", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def limit_of(scored: DataFrame) -> float | None:
+    """What a score may not exceed; None (nothing is rejected) without
+    rejected examples."""
+    s = scored.agg(F.max(F.col("suspect").cast("int")).alias("any"), F.percentile_approx(F.when(~F.col("suspect"), F.col("score")), KEEP, 10000).alias("top")).first()
+    return max(0.0, s["top"] or 0.0) if s["any"] else None
 
 
 def judge(pages: DataFrame, url: str = "url", id_col: str = "page_id", rules: tuple[tuple[str, str, bool], ...] = RULES) -> DataFrame:
     """One row for each page: page_id, host, path, rule (or null), score (mean
     log-likelihood ratio) and verdict. A null URL, or one without "://", has
-    empty host and path, fits no rule and scores 0, as an empty one does."""
+    empty host and path, fits no rule, scores 0 and is allowed, as an empty
+    one is. Long URLs are used whole; rows may repeat, with and without the
+    same id, and come back as often; pages with one host and path have one
+    score. An empty table gives no rows."""
     host, path = host_path(F.col(url))
     name, allowed = rule_of(F.col("host"), F.col("path"), rules)
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    # Kept apart by explode(), which the optimiser does not merge into the uses of codes.
-    codes = F.explode(F.array(symbols(F.concat("host", "path")))).alias("codes")
-    rows = parts.select("page_id", "host", "path", name.alias("rule"), allowed.alias("allowed"), is_suspect(F.col("host")).alias("suspect"), codes)
-    found = checkpoint(counts(rows.select("suspect", "codes")))  # SPAN rows at most, used by every order
-    model = ratios(found).first()["model"]  # SPAN numbers
-    written = F.expr("cast(split('" + ",".join(f"{x:.4f}" for x in model) + "', ',') as array<double>)")
-    scored = rows.select("page_id", "host", "path", "rule", "allowed", "suspect", mean_ratio(F.col("codes"), written).alias("score"))
-    limit = threshold(scored.select("suspect", "score")).first()["threshold"]
+    rows = parts.select("page_id", "host", "path", name.alias("rule"), allowed.alias("allowed"), F.concat("host", "path").alias("text"))
+    texts = parts.groupBy(F.concat("host", "path").alias("text")).agg(F.min("host").alias("host"))
+    suspect = is_suspect(F.col("host"))
+    texts = checkpoint(texts.select("text", suspect.alias("suspect"), half(F.col("host")).alias("half")))
+    dealt = texts.where("not suspect").agg(F.min("half").alias("low"), F.max("half").alias("high")).first()
+    found = counts(texts)
+    if dealt["low"] == dealt["high"]:  # one host, say: there is no other half to learn from
+        found = found.withColumns({"yes0": F.col("yes0") + F.col("yes1"), "yes1": F.col("yes0") + F.col("yes1")})
+    found = checkpoint(found)  # used by every order
+    size = found.select(F.substring("gram", ORDER + 1, 1).alias("c")).distinct().count()
+    scored = checkpoint(scores(texts, ratios(found, max(1, size))))
+    limit = limit_of(scored)
     ok = F.coalesce("allowed", F.col("score") <= F.lit(limit), F.lit(True))
-    return scored.select("page_id", "host", "path", "rule", "score", F.when(ok, "allow").otherwise("block").alias("verdict"))
+    out = rows.join(scored.select("text", "score"), "text")
+    return out.select("page_id", "host", "path", "rule", "score", F.when(ok, "allow").otherwise("block").alias("verdict"))
