@@ -5,6 +5,9 @@ the stored bytes: a polyphase filter bank resamples it, overlapped windows
 give log-mel energies, and a segmenter with two thresholds (hysteresis) gives
 the time spans of sound. The log-mels are stored as fixed-shape Arrow tensors
 of (FRAMES, MELS), each with its time span, in an Arrow IPC stream.
+
+Energies are computed in 64 bits and rounded to 1 / STEPS_A_UNIT, so that they, and digests
+of them, do not depend on the order in which a processor adds.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ ON_DB, OFF_DB = 6.0, 3.0
 #: Resampled samples worked on at a time, so that long clips need bounded memory.
 CHUNK = 1 << 16
 BLOCK = 576
+#: Log energies are whole multiples of one over this.
+STEPS_A_UNIT = 256
 
 
 def pad(payload: bytes, block: int = BLOCK) -> bytes:
@@ -73,7 +78,7 @@ def _filters() -> np.ndarray:
     t = (np.arange(n) - (n - 1) / 2) / max(UP, DOWN)
     h = np.sinc(t) * np.hanning(n + 2)[1:-1]
     h *= UP / h.sum()
-    return np.stack([h[p::UP][::-1] for p in range(UP)]).astype(np.float32)
+    return np.stack([h[p::UP][::-1] for p in range(UP)])
 
 
 @cache
@@ -85,15 +90,15 @@ def _mel_bank() -> np.ndarray:
     freq = np.arange(FFT // 2 + 1) * rate / FFT
     lo, mid, hi = edges[:-2], edges[1:-1], edges[2:]
     up, down = (freq[:, None] - lo) / (mid - lo), (hi - freq[:, None]) / (hi - mid)
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.maximum(0, np.minimum(up, down))
 
 
 def resample(x: np.ndarray) -> np.ndarray:
     """x at UP / DOWN times its rate, by one filter phase for each output."""
     n = len(x) * UP // DOWN
-    padded = np.concatenate([np.zeros(TAPS // 2, np.float32), x.astype(np.float32), np.zeros(TAPS, np.float32)])
+    padded = np.concatenate([np.zeros(TAPS // 2), x.astype(float), np.zeros(TAPS)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
-    out = np.empty(n, np.float32)
+    out = np.empty(n)
     h = _filters()
     for at in range(0, n, CHUNK):
         k = np.arange(at, min(n, at + CHUNK)) * DOWN
@@ -105,19 +110,19 @@ def log_mels(y: np.ndarray) -> np.ndarray:
     """(frames, MELS) float32 log energies of overlapped windows; at least one
     frame, short input is padded with silence."""
     if len(y) < WINDOW:
-        y = np.concatenate([y, np.zeros(WINDOW - len(y), np.float32)])
+        y = np.concatenate([y, np.zeros(WINDOW - len(y))])
     frames = np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::STEP]
-    taper, bank, out = np.hanning(WINDOW).astype(np.float32), _mel_bank(), []
+    taper, bank, out = np.hanning(WINDOW), _mel_bank(), []
     for at in range(0, len(frames), 4096):
         power = np.abs(np.fft.rfft(frames[at : at + 4096] * taper, FFT)) ** 2
-        out.append(np.log(power.astype(np.float32) @ bank + 1e-6))
-    return np.concatenate(out)
+        out.append(np.rint(np.log(power @ bank + 1e-6) * STEPS_A_UNIT) / STEPS_A_UNIT)
+    return np.concatenate(out).astype(np.float32)
 
 
 def segments(mels: np.ndarray) -> list[tuple[float, float]]:
     """(start, end) in seconds: sound starts where the energy rises ON_DB above
     the quietest tenth of frames and ends where it falls below OFF_DB."""
-    db = 10 * np.log10(np.exp(mels).sum(1) + 1e-6)
+    db = np.round(10 * np.log10(np.exp(mels.astype(float)).sum(1) + 1e-6), 6)
     floor = np.sort(db)[len(db) // 10]
     state = np.where(db >= floor + ON_DB, 1, np.where(db < floor + OFF_DB, 0, -1))
     known = np.where(state >= 0, np.arange(len(state)), -1)
@@ -150,7 +155,7 @@ def to_ipc(batch: pa.RecordBatch) -> bytes:
 def features(media: bytes) -> tuple[list[tuple[float, float]], bytes]:
     """(segments, tensors as an Arrow IPC stream) of a stored clip."""
     _, samples = decode_wav(media)
-    mels = log_mels(resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128))
+    mels = log_mels(resample((np.frombuffer(samples, np.uint8).astype(float) - 128) / 128))
     return segments(mels), to_ipc(tensors(mels))
 
 
@@ -160,13 +165,15 @@ SCHEMA = "n_bytes long, media binary, segments array<struct<start: double, end:
 def audio_column(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes (of the text), media (a WAV file of the padded text),
     segments and tensors for each row. A null text counts as empty and gives
-    one block of padding."""
+    one block of padding; long texts are stored and resampled whole; rows may
+    repeat, and ids may be null; equal texts have equal values."""
     return _rows(docs, text, id_col, SCHEMA, lambda n, media, segs, ipc: {"n_bytes": n, "media": media, "segments": [{"start": a, "end": b} for a, b in segs], "tensors": ipc})
 
 
 def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Digests of what audio_column stores, made where it is stored, so that
-    no media bytes leave the task."""
+    no media bytes leave the task. Nulls, long texts, repeated rows and ids
+    are as there: each row is worked on by itself."""
 
     def row(n: int, media: bytes, segs: list[tuple[float, float]], ipc: bytes) -> dict:
         _, payload = decode_wav(media)
