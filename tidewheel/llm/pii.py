@@ -24,8 +24,8 @@ from .common import map_batches, map_column
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "secret", "key", "iban")
-#: Words that announce a secret value, in the spellings they are searched in.
-CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key")
+#: Words that announce a secret value, in any case; a space or hyphen may stand for an underscore.
+CUES = ("password", "passwd", "passphrase", "pwd", "token", "secret", "api_key", "apikey", "access_key", "private_key")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
@@ -43,12 +43,12 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for word, what in [("@", "@"), ("+", "+"), ("://", "/"), ("AKIA", "k"), ("IBAN", "i")]:
+    for word, what in [("@", "@"), ("+", "+"), ("://", "/"), ("akia", "k"), ("iban", "i")]:
         a.add_word(word, (what, len(word)))
     for d in _DIGITS:
         a.add_word(d, ("d", 1))
     for cue in CUES:
-        for form in {cue, cue.capitalize(), cue.upper()}:
+        for form in {cue, cue.replace("_", " "), cue.replace("_", "-")}:
             a.add_word(form, ("c", len(form)))
     a.make_automaton()
     return a
@@ -70,6 +70,18 @@ def _iban_ok(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, as many code points as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
+def _secret(value: str) -> bool:
+    """Whether a value is not just a word: it has a digit, a mark, or capitals
+    within."""
+    return any(c in _DIGITS or c in "!$%^&*~" for c in value) or value[1:] != value[1:].lower() and value != value.upper()
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, in order; kind indexes KINDS."""
     global _ANCHORS
@@ -77,7 +89,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         return []
     if _ANCHORS is None:
         _ANCHORS = _automaton()
-    return sorted(_expand(text, _ANCHORS.iter(text)))
+    return sorted(_expand(text, _ANCHORS.iter(_lower(text))))
 
 
 def _expand(text: str, anchors: Iterator[tuple[int, tuple[str, int]]]) -> Iterator[tuple[int, int, int]]:
@@ -112,8 +124,8 @@ def _expand(text: str, anchors: Iterator[tuple[int, tuple[str, int]]]) -> Iterat
                 yield m.start(), 4, m.end()
         elif what == "c":
             if at >= secret and (m := _VALUE.match(text, last + 1)):
-                secret = m.end(1)  # without a digit too: no end of such a value has one
-                if any(c in _DIGITS for c in m[1]):
+                secret = m.end(1)  # of a plain word too: no end of it is anything else
+                if _secret(m[1]):
                     yield m.start(1), 5, secret
         elif what == "k":
             if (at == 0 or not text[at - 1].isalnum()) and (m := _KEY.match(text, at)):
@@ -139,10 +151,11 @@ def redact(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id", redacted: bool = True) -> DataFrame:
     """One row for each input row: doc_id, counts by base kind, base_sha256,
-    spans (all of them) and redacted, the text without them. A null text has
-    no spans and stays null; ids may be null or repeat."""
+    spans (all of them) and, if asked for, redacted: the text without them. A
+    null text has no spans and stays null; long texts are read whole; ids may
+    be null and rows repeat; spans that tie in start are listed by kind."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
 
@@ -150,9 +163,9 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_i
         found = [spans(x) for x in b["text"]]
         base = [[s for s in f if s[1] < len(BASE)] for f in found]
         counts = {f"n_{name}": [sum(s[1] == k for s in f) for f in base] for k, name in enumerate(BASE)}
-        return counts | {"doc_id": b["doc_id"], "base_sha256": [hashlib.sha256(listed(f).encode()).hexdigest() for f in base], "spans": [listed(f) for f in found], "redacted": [redact(x) if f else x for x, f in zip(b["text"], found, strict=True)]}
+        return counts | {"doc_id": b["doc_id"], "base_sha256": [hashlib.sha256(listed(f).encode()).hexdigest() for f in base], "spans": [listed(f) for f in found]} | ({"redacted": [redact(x) if f else x for x, f in zip(b["text"], found, strict=True)]} if redacted else {})
 
-    return map_batches(rows, run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    return map_batches(rows, run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * redacted)
 
 
 def redact_column(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
-    return find_personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+    return find_personal_data(table(spark, sf_dir, "documents"), redacted=False)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
