@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -23,18 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage by writing df to the folder that spark.checkpoint.dir
-    names. All executors share that folder; a local folder is set only where
-    none is configured (tests on one machine)."""
+    names, which all executors share. Where none is configured, a local folder
+    is set on a single machine, and a cluster is refused."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewheel-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewheel-"))
     return df.checkpoint()
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Limits the rows of an Arrow batch, so that a Python worker holds few
-    long texts at a time; a lower limit of the session stays. Also brings this
+    """Limits the rows of an Arrow batch of the session, so that a Python
+    worker holds few long texts at a time; a lower limit stays. The limit is
+    read when a plan is run, so it can't be put back here. Also brings this
     package to the workers."""
     ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -116,7 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         e = checkpoint(star(star(e, False), True))
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("h")).first()
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if now == before or now["n"] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
         before = now

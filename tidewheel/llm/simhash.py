@@ -116,15 +116,22 @@ def links(fps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """(fp, root) of each different fingerprint; root names its component."""
+    held = checkpoint(fps.select("fp").distinct())
+    comps = components(links(held))
+    return held.join(comps, held.fp == comps.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row (doc_id, fp, component_id) for each input row; component_id is
-    the least doc_id that links reach. Rows without a doc_id keep a
-    fingerprint and take no part in components (component_id null); repeated
-    rows come back as often as they are given; an empty table gives none."""
+    the least doc_id that links reach. Null and empty texts share fingerprint
+    zero; long texts are used whole. Rows without a doc_id keep a fingerprint
+    and take no part in components (component_id null); repeated rows come
+    back as often as they are given; an empty table gives none."""
     fps = checkpoint(fingerprints(docs, text, id_col))
-    held = checkpoint(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")))
-    comps = components(links(held.select("fp")))
-    rooted = held.join(comps, held.fp == comps.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    held = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = held.join(_rooted(fps.where("doc_id is not null")), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     out = fps.join(named, fps.fp == named.of, "left")
@@ -132,10 +139,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component: the row whose doc_id names
-    it. Of repeated rows one stays; rows without a doc_id are kept."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi")
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = kept.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component stays, with all of its columns, whatever
+    their names: the one with the least doc_id, rows without one last; of
+    those alike, the one whose text has the least hash. Null and empty texts
+    are alike."""
+    at = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64("content").alias("of"))
+    fps = checkpoint(map_batches(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("content")), lambda b: b | {"fp": [fingerprint(x) for x in b["content"]]}, "id long, content string, fp long").select("fp", at.alias("at")))
+    rooted = _rooted(fps)
+    first = fps.groupBy("fp").agg(F.min("at").alias("at")).join(rooted, "fp").groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.*"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("content"))
+    stay = first.select(F.col("none").alias("w_none"), F.col("id").alias("w_id"), F.col("of").alias("w_of"))
+    kept = packed.select("row", at.alias("at")).join(stay, (F.col("at.none") == F.col("w_none")) & (F.col("at.id") == F.col("w_id")) & (F.col("at.of") == F.col("w_of")))
+    # Rows that are alike in id and text fall together; they are copies of one document.
+    again = Window.partitionBy("at").orderBy(F.xxhash64(F.struct("row.*")))
+    return kept.withColumn("nth", F.row_number().over(again)).where("nth = 1").select("row.*")
