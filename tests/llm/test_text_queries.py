@@ -76,21 +76,51 @@ def test_spotsigs_query(spark, texts):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.97
 
 
-def test_signatures_by_hand(spark):
-    def brute(text):
-        words = re.sub(r"[^\w]+|_", " ", text.lower()).split()
-        common_ = [len(w) <= 2 or w in spotsigs.ANCHORS for w in words]
-        out = 0
-        content = [w for w, c in zip(words, common_, strict=True) if not c]
-        before = 0
-        for c in common_:
-            out += c and before + spotsigs.CHAIN <= len(content)
-            before += not c
-        return out
+def plain_signatures(text: str) -> set[int]:
+    import regex
+    import xxhash
+
+    def h(*parts):
+        v = 42
+        for p in parts:
+            v = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else int(p).to_bytes(*((4, "little") if isinstance(p, np.int32) else (8, "little"))), v)
+        return v & 0xFFFFFFFF
+
+    plain = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip(" ")
+    if not plain:
+        return {h(text)} if text else set()
+    words = plain.split(" ")
+    is_common = [len(w) <= 2 or w in spotsigs.ANCHORS for w in words]
+    content = [w for w, c in zip(words, is_common, strict=True) if not c]
+    found = [h(plain)]
+    before = 0
+    for w, c in zip(words, is_common, strict=True):
+        if c and content[before : before + spotsigs.CHAIN]:
+            found.append(h(w, " ".join(content[before : before + spotsigs.CHAIN])))
+        before += not c
+    content = content or words
+    found += [h("", " ".join(content[: spotsigs.CHAIN])), h("", content[0])]
+    seen: dict[int, int] = defaultdict(int)
+    out = set()
+    for x in found:
+        out.add(h(x, np.int32(seen[x])) if seen[x] else x)
+        seen[x] += 1
+    return out
+
+
+def test_signatures_by_brute_force(spark, texts):
+    cases = [*texts.values(), "", "...", "is it of", "x", "The quick brown fox is over the lazy dog of a house. " * 30, "one, two; one, two; one two"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, text string").select("k", spotsigs.signatures(F.col("text")).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == {k: sorted(plain_signatures(t)) for k, t in enumerate(cases)}
+
 
-    text = "The quick brown fox is over the lazy dog of a house and nothing else remains here. " * 4
-    found = spark.createDataFrame([(text,)], "text string").select(F.size(spotsigs.signatures(F.col("text"))).alias("n")).first()
-    assert found["n"] >= brute(text) > 20  # some content words are anchors too
+def test_texts_of_near_lengths_are_alike(spark, texts):
+    """No length at which the rule changes: a text and the same with its last
+    character cut off."""
+    long = next(t for t in texts.values() if len(t) > 2000)
+    rows = [(n, long[:n], long[: n - 1]) for n in range(100, 1000)]
+    df = spark.createDataFrame(rows, "n int, a string, b string").select("n", spotsigs.likeness(spotsigs.signatures(F.col("a")), spotsigs.signatures(F.col("b"))).alias("v"))
+    assert min(r["v"] for r in df.collect()) > 1 / 3  # one chain and the whole text change
 
 
 def test_likeness_is_pruned_by_length(spark):

@@ -8,11 +8,11 @@ two are compared by their Jaccard similarity. Sets are partitioned by length:
 sets that reach a similarity t have lengths within a factor 1 / t, so pairs
 whose partitions are further apart are pruned without a look at the sets.
 
-A signature that occurs n times counts n times. So that tables and texts in
-other languages have signatures too, one content word in PICKED, chosen by its
-hash, is an anchor as well. Texts of less than SHORT code points, which have
-few chains, also give their 4-grams of letters, and texts without any chain
-their words.
+A signature that occurs n times counts n times. The start of a text is an
+anchor too, of its first content words and of the first one alone; a chain
+that the end of the text cuts short counts as it is; one signature is that of
+the whole text; and in a text of common words alone, all are content. So texts
+of any length and kind have signatures by one and the same rule.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import checkpoint
 
-CHAIN, PICKED, SHORT = 2, 4, 200
+CHAIN = 2
 #: Common words: English, German, French, Spanish.
 ANCHORS = tuple(
     """
@@ -56,19 +56,20 @@ def _hash(*parts: Column) -> Column:
 
 def signatures(text: Column) -> Column:
     """32-bit signatures, ascending, as an array of bigint; empty for an empty
-    or null text."""
+    or null text. Texts without letters and digits have one, of their own."""
 
-    def chains(words: Column) -> Column:
+    def chain(content: Column, anchor: Column, k: Column) -> Column:
+        """The signature of an anchor that k content words lie before."""
+        return F.when(k < F.size(content), _hash(anchor, F.array_join(F.slice(content, k + 1, CHAIN), " ")))
+
+    def common(words: Column) -> Column:
         content = F.filter(words, lambda w: ~_common(w))
         at = F.filter(F.transform(words, lambda w, i: F.when(_common(w), i)), lambda i: i.isNotNull())
         # k anchors come before the k-th, at position i: i - k content words do.
-        chain = lambda c: lambda i, k: F.when(i - k + CHAIN <= F.size(c), _hash(F.get(words, i), *[F.get(c, i - k + j) for j in range(CHAIN)]))
-        return _let(content, lambda c: F.array_compact(F.transform(at, chain(c))))
+        return _let(content, lambda c: F.transform(at, lambda i, k: chain(c, F.get(words, i), i - k)))
 
-    def picked(content: Column) -> Column:
-        """Chains after the content words that their hash makes anchors."""
-        one = lambda w, i: F.when((F.pmod(F.xxhash64(w), F.lit(PICKED)) == 0) & (i + CHAIN <= F.size(content)), _hash(F.lit(0), *[F.get(content, i + j) for j in range(CHAIN)]))
-        return F.array_compact(F.transform(content, one))
+    def first(content: Column) -> Column:
+        return F.array(chain(content, F.lit(""), F.lit(0)), _hash(F.lit(""), F.get(content, 0)))
 
     def numbered(s: Column) -> Column:
         """A sorted array with the n-th of equal values hashed with n."""
@@ -81,15 +82,13 @@ def signatures(text: Column) -> Column:
 
         return _let(starts, runs)
 
-    def grams(plain: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(plain) - 3)), lambda i: _hash(F.lit(1), F.substring(plain, i, 4)))
-
     def of(plain: Column) -> Column:
-        spotted = lambda w: F.concat(chains(w), _let(F.filter(w, lambda x: ~_common(x)), picked))
-        wordy = _let(F.split(plain, " "), lambda w: _let(spotted(w), lambda s: F.when(F.size(s) == 0, F.transform(w, lambda x: _hash(F.lit(3), x))).otherwise(s)))
-        short = F.concat(wordy, grams(plain))
-        bare = F.when(F.length(text) > 0, F.array(_hash(F.lit(2), text))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.length(plain) == 0, bare).when(F.length(text) < SHORT, short).otherwise(wordy)
+        def spotted(w: Column) -> Column:
+            content = F.filter(w, lambda x: ~_common(x))
+            return F.concat(common(w), _let(content, lambda c: first(F.when(F.size(c) > 0, c).otherwise(w))), F.array(_hash(plain)))
+
+        bare = F.when(F.length(text) > 0, F.array(_hash(text))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.length(plain) == 0, bare).otherwise(F.array_compact(_let(F.split(plain, " "), spotted)))
 
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     return F.array_sort(F.array_distinct(_let(F.array_sort(_let(plain, of)), numbered)))
@@ -152,8 +151,10 @@ def edited_likeness(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     """One row for each row of docs: its fingerprint, and that of its edited
     text, whose last third is replaced by the beginning of the next document;
     near_edited and near_next compare with the edited text and with the next
-    document. Repeated ids are ordered by text. Rows without an id have no
-    next document: an empty text stands for it and near_next is 0."""
+    document. Null texts count as empty ones, whose set is empty; long texts
+    are used whole. Rows that repeat an id are ordered by text. Rows without
+    an id have no next document: an empty text stands for it and near_next is
+    0. An empty table gives no rows."""
     # An alias of a column to its own name would keep Spark from reusing the shuffle in with_next().
     rows = docs.select("doc_id" if id_col == "doc_id" else F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = with_next(rows.where("doc_id is not null"))
