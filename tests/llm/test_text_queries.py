@@ -360,6 +360,62 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(p, want) and np.allclose(expected, want_pairs) and logz == pytest.approx(want_z)
 
 
+def test_gradient_is_that_of_the_objective():
+    rng = np.random.default_rng(1)
+    size, labels = [3, 1, 5, 2], np.array([1, 0, 1, 0])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    x = rng.normal(size=(11, len(quality.FEATURES))).astype(np.float32)
+    d = x.shape[1]
+    model = quality.Model(np.tile(np.linspace(-1, 1, quality.BINS - 1), (d, 1)), np.zeros((3, d, quality.BINS)), np.zeros((2, 2)), 0.0)
+    f = quality.Objective(model, x, starts, labels, 2.0)
+    theta = rng.normal(size=f.size + 5) / 3
+    value, grad = f(theta)
+    want = 0.0
+    odds = model.odds(model.bins(x), starts)
+    for k, (s, e) in enumerate(itertools.pairwise(starts)):
+        y = [int(labels[k])] * (e - s)
+        ways = {z: sum(o * v for o, v in zip(odds[s:e], z, strict=True)) + sum(model.pairs[a, b] for a, b in itertools.pairwise(z)) for z in itertools.product((0, 1), repeat=int(e - s))}
+        want += f.share[k] * (ways[tuple(y)] - math.log(sum(map(math.exp, ways.values()))))
+    assert value == pytest.approx(want - (theta**2).sum())
+    for i in rng.choice(len(theta), 60, replace=False).tolist() + list(range(f.size, f.size + 5)):
+        step = np.zeros_like(theta)
+        step[i] = 1e-5
+        assert grad[i] == pytest.approx((f(theta + step)[0] - f(theta - step)[0]) / 2e-5, abs=1e-4)
+
+
+def test_scores_and_line_labels_by_enumeration(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    rows = [(1, "Good line of words, here.\nBUY NOW!!! $$$ 777\n\nAnother line, of text."), (2, ""), (3, None), (4, "one\none\none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(df, model).collect()}
+    lines = {r["doc_id"]: r["lines"] for r in quality.label_lines(df, model).collect()}
+    for i, text in rows:
+        parts = (text or "").split("\n")
+        feats = [quality.line_features(a, b) for a, b in zip(parts, [None, *parts[:-1]], strict=True)]
+        bins = [[sum(e < np.float32(v) for e in model.edges[k]) for k, v in enumerate(f)] for f in feats]
+        w = lambda side, n: sum(model.weights[side, k, b] for k, b in enumerate(bins[n]))  # noqa: B023, E731
+        odds = [model.first + w(0, n) + (w(1, n - 1) if n else 0) + (w(2, n + 1) if n + 1 < len(parts) else 0) for n in range(len(parts))]
+        ways = {z: math.exp(sum(o for o, v in zip(odds, z, strict=True) if v) + sum(model.pairs[a, b] for a, b in itertools.pairwise(z))) for z in itertools.product((0, 1), repeat=len(parts))}
+        p = [sum(v for z, v in ways.items() if z[n]) / sum(ways.values()) for n in range(len(parts))]
+        q = sum(a * max(1, len(t)) for a, t in zip(p, parts, strict=True)) / sum(max(1, len(t)) for t in parts)
+        q = min(max(q, 1e-6), 1 - 1e-6)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-model.slope * math.log(q / (1 - q)) - model.offset)), abs=1e-6)
+        assert [x["p"] for x in lines[i]] == pytest.approx(p) and [x["good"] for x in lines[i]] == [int(v >= 0.5) for v in p]
+
+
+def test_labels_of_all_kinds(spark):
+    """Repeated, contradicting and null labels, other columns with clashing
+    names; two runs agree."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    odd_ = labels.union(labels).union(spark.createDataFrame([(None, 1, 0), (3, None, 0), (5, 7, 0)], labels.schema)).withColumns({c: F.lit(1) for c in ("id", "y", "content", "_id", "text")})
+    a, b = quality.train(docs, labels), quality.train(docs.withColumn("y", F.lit(0)).repartition(7), odd_)
+    assert np.allclose(a.weights, b.weights) and a.offset == pytest.approx(b.offset)
+    both = labels.union(labels.withColumn("quality", (1 - F.col("quality")).cast(labels.schema["quality"].dataType)))
+    assert quality.train(docs, both).slope == 0  # all count as 0
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op6_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()

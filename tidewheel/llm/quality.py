@@ -7,9 +7,13 @@ good; a document's quality is their mean, weighted by line length, put on the
 scale of the labels by a logistic curve.
 
 Only the marked documents' labels are learned from: a line bears its
-document's label. The model is fitted on at most SAMPLE training documents
-(documented bound; the rows with the smallest hash of their id) of each label,
-whose line features, not texts, come to the driver.
+document's label. The model maximises one objective, the log-likelihood of the
+documents' lines, weighted so that both labels count the same, less a penalty.
+It is fitted on at most SAMPLE training documents (documented bound; the rows
+with the smallest hash of their id) of each label, with all of their lines,
+whose features, not texts, come to the driver. For the fit, chains of more
+than PIECE lines are cut into pieces, which drops no line; scores and their
+calibration run over whole documents.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import keep_where, map_batches
 
-#: Training documents of each label at most, and lines of each at most.
-SAMPLE, SAMPLE_LINES = 800, 64
+#: Training documents of each label at most, and lines of a chain in training.
+SAMPLE, PIECE = 800, 64
 #: A document with this score or more is of good quality.
 THRESHOLD = 0.7
 FEATURES = ("chars", "words", "distinct", "repeats", "upper", "digits", "symbols", "doubled", "bars", "word_chars", "short", "stops", "starts_upper", "same_line", "wide")
@@ -88,17 +92,19 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * math.log(p / (1 - p)) + self.offset))))
 
 
-def forward_backward(odds: np.ndarray, starts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def forward_backward(odds: np.ndarray, starts: np.ndarray, pairs: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(marginals of good by line, expected counts of pairs, log partition
-    sum) over chains that lie one after the other. Chains advance together,
-    one position at a time, longest first."""
+    sum) over chains that lie one after the other; the last two weighted with
+    the chains' shares. Chains advance together, one position at a time,
+    longest first."""
     length = np.diff(starts)
+    share = np.ones(len(length)) if share is None else share
     order = np.argsort(-length, kind="stable")
-    begin, length = starts[:-1][order], length[order]
+    begin, length, share = starts[:-1][order], length[order], share[order]
     m = np.exp(pairs - pairs.max())
     unary = np.stack([np.full_like(odds, 0.0), odds], 1)
     unary = np.exp(unary - unary.max(1, keepdims=True))
-    logz = np.maximum(odds, 0).sum() + pairs.max() * (length - 1).sum()
+    logz = (np.add.reduceat(np.maximum(odds, 0), begin[np.argsort(begin)])[np.argsort(np.argsort(begin))] * share).sum() + pairs.max() * ((length - 1) * share).sum() if len(length) else 0.0
     top = int(length[0]) if len(length) else 0
     alive = np.searchsorted(-length, -np.arange(1, top + 1), side="right")
     alpha, beta = np.empty_like(unary), np.ones_like(unary)
@@ -107,14 +113,14 @@ def forward_backward(odds: np.ndarray, starts: np.ndarray, pairs: np.ndarray) ->
         a = unary[at] if t == 0 else (alpha[at - 1] @ m) * unary[at]
         z = a.sum(1, keepdims=True)
         alpha[at] = a / z
-        logz += np.log(z).sum()
+        logz += (np.log(z[:, 0]) * share[: alive[t]]).sum()
     expected = np.zeros((2, 2))
     for t in range(top - 1, 0, -1):
         at = begin[: alive[t]] + t
         ub = unary[at] * beta[at]
         joint = alpha[at - 1][:, :, None] * m * ub[:, None, :]
         joint /= joint.sum((1, 2), keepdims=True)
-        expected += joint.sum(0)
+        expected += (joint * share[: alive[t], None, None]).sum(0)
         b = ub @ m.T
         beta[at - 1] = b / b.sum(1, keepdims=True)
     marginal = alpha * beta
@@ -125,43 +131,65 @@ def document_means(marginal: np.ndarray, weight: np.ndarray, starts: np.ndarray)
     return np.add.reduceat(marginal * weight, starts[:-1]) / np.add.reduceat(weight, starts[:-1])
 
 
+class Objective:
+    """The weighted, penalised log-likelihood of training lines, and its
+    gradient, as functions of the parameters in a row."""
+
+    def __init__(self, model: Model, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, ridge: float) -> None:
+        self.model, self.starts, self.ridge = model, starts, ridge
+        size = np.diff(starts)
+        self.y = np.repeat(labels, size).astype(np.int64)
+        # Both labels weigh the same, whatever their share in the sample.
+        lines = np.bincount(labels, size, 2)
+        self.share = 0.5 * size.sum() / np.maximum(1, lines)[labels]
+        self.line_share = np.repeat(self.share, size)
+        self.bins = model.bins(x)
+        self.flat = self.bins + np.arange(self.bins.shape[1]) * BINS
+        heads = np.zeros(len(x), bool)
+        heads[starts[:-1]] = True
+        self.after = np.flatnonzero(~heads)
+        pair = 2 * self.y[self.after - 1] + self.y[self.after]
+        self.observed = np.bincount(pair, self.line_share[self.after], 4).reshape(2, 2)
+        self.size = 3 * self.bins.shape[1] * BINS
+
+    def place(self, theta: np.ndarray) -> None:
+        m = self.model
+        m.weights, m.pairs, m.first = theta[: self.size].reshape(m.weights.shape), theta[self.size : self.size + 4].reshape(2, 2), float(theta[-1])
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        self.place(theta)
+        odds = self.model.odds(self.bins, self.starts)
+        p, expected, logz = forward_backward(odds, self.starts, self.model.pairs, self.share)
+        miss = (self.y - p) * self.line_share
+        d = self.bins.shape[1]
+        count = lambda rows, m: np.bincount(self.flat[rows].ravel(), np.repeat(m, d), minlength=d * BINS)
+        grad = np.concatenate([count(slice(None), miss), count(self.after - 1, miss[self.after]), count(self.after, miss[self.after - 1]), (self.observed - expected).ravel(), [miss.sum()]])
+        value = (odds * self.y * self.line_share).sum() + (self.observed * self.model.pairs).sum() - logz - self.ridge / 2 * (theta**2).sum()
+        return value, grad - self.ridge * theta
+
+
 def fit(features: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, rounds: int = 200, ridge: float = 2.0) -> Model:
     """A model from the line features, line lengths and label of each training
-    document, by gradient steps (Adam) on the penalised likelihood. With no
-    documents, or only one label, it gives that label's share."""
+    document, by gradient steps (Adam) on the objective. With no documents, or
+    only one label, it gives that label's share."""
     d = len(FEATURES)
     if len(features) == 0 or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.tile(np.arange(1.0, BINS), (d, 1)), np.zeros((3, d, BINS)), np.zeros((2, 2)), 0.0, 0.0, math.log(share / (1 - share)))
     x, weight = np.concatenate(features), np.concatenate(weights)
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in features])])
-    y = np.repeat(labels, np.diff(starts)).astype(np.int64)
+    whole = np.concatenate([[0], np.cumsum([len(f) for f in features])])
+    pieces = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(whole[:-1], whole[1:], strict=True)])
     edges = np.quantile(x, np.arange(1, BINS) / BINS, axis=0).T.copy()
     model = Model(edges, np.zeros((3, d, BINS)), np.zeros((2, 2)), 0.0)
-    bins = model.bins(x)
-    flat = bins + np.arange(d) * BINS
-    heads = np.zeros(len(x), bool)
-    heads[starts[:-1]] = True
-    inner = ~heads[1:]  # line k + 1 follows line k
-    observed = np.bincount(2 * y[:-1][inner] + y[1:][inner], minlength=4).reshape(2, 2)
-    size = 3 * d * BINS
-    theta, mean, square = np.zeros(size + 5), np.zeros(size + 5), np.zeros(size + 5)
-    # Both labels weigh the same, whatever their share in the sample.
-    fair = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    objective = Objective(model, x, np.append(pieces, len(x)), np.repeat(labels, [-(-len(f) // PIECE) for f in features]), ridge)
+    theta, mean, square = (np.zeros(objective.size + 5) for _ in range(3))
     for step in range(1, rounds + 1):
-        model.weights, model.pairs, model.first = theta[:size].reshape(3, d, BINS), theta[size : size + 4].reshape(2, 2), theta[-1]
-        p, expected, _ = forward_backward(model.odds(bins, starts), starts, model.pairs)
-        miss = (y - p) * fair
-        count = lambda rows, m: np.bincount(flat[rows].ravel(), np.repeat(m, d), minlength=d * BINS)
-        every = np.arange(len(x))
-        before, after = every[:-1][inner], every[1:][inner]
-        grad = np.concatenate([count(every, miss), count(before, miss[after]), count(after, miss[before]), (observed - expected).ravel(), [miss.sum()]])
-        grad = (grad - ridge * theta) / len(x)
+        grad = objective(theta)[1] / len(x)
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         theta = theta + 0.1 * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    model.weights, model.pairs, model.first = theta[:size].reshape(3, d, BINS), theta[size : size + 4].reshape(2, 2), theta[-1]
-    p, _, _ = forward_backward(model.odds(bins, starts), starts, model.pairs)
-    q = np.clip(document_means(p, weight, starts), 1e-6, 1 - 1e-6)
+    objective.place(theta)
+    p, _, _ = forward_backward(model.odds(objective.bins, whole), whole, model.pairs)
+    q = np.clip(document_means(p, weight, whole), 1e-6, 1 - 1e-6)
     model.slope, model.offset = _calibrate(np.log(q / (1 - q)), labels.astype(float))
     return model
 
@@ -186,53 +214,78 @@ def is_held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on documents with a label (0 or 1), outside the held-out quarter.
-    Of ids with more than one label or document any one is used."""
-    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out()).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"))
-    rank = F.xxhash64("_id", F.lit(17))
+    An id that has both labels counts as 0; of several texts of one id the one
+    with the least hash is used. Rows of labels without an id or with another
+    label don't count, repeated rows count once."""
+    named = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
+    marked = named.where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~is_held_out("id")).groupBy("id").agg(F.min("y").cast("int").alias("y"))
+    rank = F.xxhash64("id", F.lit(17))
     chosen = None
     for y in (0, 1):
-        few = marked.where(F.col("_y") == y).orderBy(rank, "_id").limit(sample)
+        few = marked.where(F.col("y") == y).orderBy(rank, "id").limit(sample)
         chosen = few if chosen is None else chosen.union(few)
     # At most 2 x sample ids: a bounded broadcast.
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "y").agg(F.min_by("content", F.xxhash64("content")).alias("content"))
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": b["_id"], "y": b["_y"], "x": [], "w": []}
-        for text in b["_text"]:
+        out: dict[str, list] = {"id": b["id"], "y": b["y"], "x": [], "w": []}
+        for text in b["content"]:
             lines, x = lines_of(text)
-            out["x"].append(x[:SAMPLE_LINES].tobytes())
-            out["w"].append([max(1, len(a)) for a in lines[:SAMPLE_LINES]])
+            out["x"].append(x.tobytes())
+            out["w"].append([max(1, len(a)) for a in lines])
         return out
 
-    rows = {r["id"]: r for r in map_batches(texts, run, "id long, y int, x binary, w array<int>").toLocalIterator()}
-    rows = [rows[k] for k in sorted(rows)]
+    rows = sorted(map_batches(texts, run, "id long, y int, x binary, w array<int>").toLocalIterator(), key=lambda r: r["id"])
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)) for r in rows]
     model = fit(x, [np.array(r["w"], float) for r in rows], np.array([r["y"] for r in rows], np.int64))
-    share = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
+    share = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if model.slope and len(share) == 2:  # the sample is even, the labels are not
         model.offset += math.log(share[1] / share[0])
     return model
 
 
+def _marginals(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals of good, lengths, where texts start) of all lines."""
+    found = [lines_of(x) for x in texts]
+    starts = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
+    p, _, _ = forward_backward(model.odds(model.bins(np.concatenate([f[1] for f in found])), starts), starts, model.pairs)
+    return p, np.array([max(1, len(a)) for f in found for a in f[0]], float), starts
+
+
 def scores(texts: list[str | None], model: Model) -> list[float]:
     """Quality of each text, 0 to 1; an empty or null one is one empty line."""
     if not texts:
         return []
-    found = [lines_of(x) for x in texts]
-    starts = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
-    odds = model.odds(model.bins(np.concatenate([f[1] for f in found])), starts)
-    p, _, _ = forward_backward(odds, starts, model.pairs)
-    weight = np.array([max(1, len(a)) for f in found for a in f[0]], float)
+    p, weight, starts = _marginals(texts, model)
     return [model.score(v) for v in document_means(p, weight, starts)]
 
 
+def label_lines(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, lines) of every row: for each line of its text the probability
+    that it is good and the label (1: good) that this makes likelier. Nulls,
+    long texts and repeated rows are as in score_documents()."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(b: dict[str, list]) -> dict[str, list]:
+        if not b["text"]:
+            return {"doc_id": [], "lines": []}
+        p, _, starts = _marginals(b["text"], model)
+        return {"doc_id": b["doc_id"], "lines": [[{"p": float(v), "good": int(v >= 0.5)} for v in p[s:e]] for s, e in zip(starts[:-1], starts[1:], strict=True)]}
+
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, lines array<struct<p: double, good: int>>")
+
+
 def score_documents(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, score) of every row, whatever its id."""
+    """(doc_id, score) of every row, whatever its id. A null or empty text is
+    one empty line; long texts are scored whole; rows that repeat have the
+    same score; an empty table gives no rows."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     return map_batches(rows, lambda b: {"doc_id": b["doc_id"], "score": scores(b["text"], model)}, f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all of their columns, that score threshold or more."""
+    """The rows of docs, with all of their columns, that score threshold or
+    more; texts are treated as in score_documents()."""
     return keep_where(docs, "text", lambda x: [s >= threshold for s in scores(x, model)])
