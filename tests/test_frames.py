@@ -77,7 +77,7 @@ def test_push_folder(spark, tmp_path):
 
 def test_plans_push_down_and_shuffle_once(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type = 'view'")
-    s = Series.of(df, keys=("user_id",))
+    s = Series.of(df, keys=("user_id",), unique=True)
     info = profile.graph_info(a.count(s).df)
     assert info["shuffles"] == 1 and "EqualTo(event_type,view)" in info["pushed"][0] and "props" not in info["read"][0]
     assert profile.graph_info(a.sample(s, s).df)["shuffles"] == 1

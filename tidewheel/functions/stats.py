@@ -9,7 +9,8 @@ until so many samples or so much time have passed.
 
 A window is a frame over a spine of all ticks of a key: one shuffle by key,
 one sort, and built-in aggregates. Ticks at one timestamp are kept apart, since
-frames range over a position that holds both time and cycle.
+frames in time range over a position that holds both time and cycle: a window
+of length d at (t, cycle) holds all cycles after t - d up to this one.
 """
 
 from __future__ import annotations
@@ -21,11 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..series import RunSpec, Series, micros, spine
+from ..series import RunSpec, Series, bound, position, spine
 
 NAN = float("nan")
-#: Ticks at one timestamp that a time window tells apart.
-CYCLES = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -102,9 +101,8 @@ class Frame:
             # Rows between two samples share an ordinal; only sampled ones have a value.
             self.window = Window.partitionBy(*self.group).orderBy("_n").rangeBetween(-(i - 1), 0)
         else:
-            span = int(i / timedelta(microseconds=1))
-            rows = rows.withColumn("_at", micros("ts") * CYCLES + F.col("cycle"))
-            self.window = Window.partitionBy(*self.group).orderBy("_at").rangeBetween(-(span - 1) * CYCLES, 0)
+            rows = rows.withColumn("_at", position())
+            self.window = Window.partitionBy(*self.group).orderBy("_at").rangeBetween(bound(i, False, True), 0)
         self.rows = rows
 
     def over(self, c: Column) -> Column:
@@ -224,7 +222,7 @@ def median(x: Series, r: Rules) -> Series:
 def _arg(x: Series, r: Rules, sign: int, recent: bool) -> Series:
     """Time of the extreme; 1970 for none."""
     f = Frame(r, x.keys, x=x)
-    when = micros("ts") * CYCLES + F.col("cycle")
+    when = position()
     best = f.over(F.max(F.when(F.col("x_ok").isNotNull(), F.struct((F.col("x_ok") * sign).alias("v"), (when if recent else -when).alias("k"), F.col("ts").alias("t")))))
     zero = F.lit("1970-01-01").cast("timestamp_ntz")
     value = F.coalesce(best["t"], zero)
@@ -255,6 +253,16 @@ def rank(x: Series, r: Rules, method: str = "min", na_option: str = "keep") -> S
     return f.result(F.when(F.col("_new").isNull() | F.isnan("_new"), F.lit(NAN)).otherwise(value))
 
 
+def _centred(f: Frame, name: str) -> Column:
+    """A column less a value amid those of its key: central moments stay as
+    they are, and differences of sums keep their digits."""
+    whole = Window.partitionBy(*f.keys).orderBy("ts", "cycle").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = f"_mid_{name}"
+    if named not in f.rows.columns:
+        f.rows = f.rows.withColumn(named, F.avg(F.when(~F.isnan(name), F.col(name))).over(whole))
+    return F.col(name) - F.col(named)
+
+
 def _moments(f: Frame, weights: Series | None, x: str = "x_ok", y: str = "x_ok") -> tuple[Column, Column]:
     """(weight, weighted centred product sum) of a window; w <= 0 is skipped."""
     if weights is None:
@@ -262,8 +270,8 @@ def _moments(f: Frame, weights: Series | None, x: str = "x_ok", y: str = "x_ok")
         return n, f.over(F.covar_pop(x, y) if x != y else F.var_pop(x)) * n
     w = F.when((F.col("_w") > 0) & F.col(x).isNotNull(), F.col("_w"))
     s = lambda c: f.over(F.sum(c))
-    total = s(w)
-    return total, s(w * F.col(x) * F.col(y)) - s(w * F.col(x)) * s(w * F.col(y)) / F.nullif(total, F.lit(0.0))
+    total, dx, dy = s(w), _centred(f, x), _centred(f, y)
+    return total, s(w * dx * dy) - s(w * dx) * s(w * dy) / F.nullif(total, F.lit(0.0))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -303,7 +311,7 @@ def corr(x: Series, y: Series, r: Rules, weights: Series | None = None, allow_no
 
 def _central(f: Frame, weights: Series | None, p: int) -> tuple[Column, Column, Column, Column]:
     """(rows, variance, third, fourth) central moments over the weights."""
-    x, n = F.col("x_ok"), f.over(F.count("x_ok")).cast("double")
+    x, n = _centred(f, "x_ok"), f.over(F.count("x_ok")).cast("double")
     w = F.lit(1.0) if weights is None else F.when(F.col("_w") > 0, F.col("_w"))
     s = [f.over(F.sum(F.when(x.isNotNull(), w) * x**k if k else F.when(x.isNotNull(), w))) for k in range(p + 1)]
     m = [c / F.nullif(s[0], F.lit(0.0)) for c in s]

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..series import RunSpec, Series, interval, series_of, spine
+from ..series import RunSpec, Series, bound, interval, series_of, spine
 
 
 def sample(trigger: Series, x: Series) -> Series:
@@ -225,12 +225,13 @@ def struct_from(keys: tuple[str, ...] = (), trigger: Series | None = None, **fie
 
 def history(x: Series, size: int | None = None, span: timedelta | None = None) -> Series:
     """The past ticks at each tick, as a list of (ts, value), oldest first:
-    the last `size`, those within `span`, or all."""
+    the last `size`, those within `span`, or all. With neither, each tick
+    holds its whole past."""
     if size is not None:
         frame = x.ordered.rowsBetween(-(size - 1), 0)
         return x.with_value(F.collect_list(F.struct("ts", "value")).over(frame))
-    got = F.collect_list(F.struct("ts", "value")).over(x.past)
-    return x.with_value(F.filter(got, lambda e: e["ts"] >= F.col("ts") - interval(span)) if span is not None else got)
+    frame = x.by_position.rangeBetween(bound(span, True, True), 0) if span is not None else x.past
+    return x.with_value(F.collect_list(F.struct("ts", "value")).over(frame))
 
 
 def value_at(x: Series, ago: int | timedelta, first: bool = False, otherwise: object = None) -> Series:
@@ -238,8 +239,9 @@ def value_at(x: Series, ago: int | timedelta, first: bool = False, otherwise: ob
     at one timestamp the last, or the first. Where there is none: otherwise."""
     if isinstance(ago, int):
         return x.with_value(F.coalesce(F.lag("value", ago).over(x.ordered), F.lit(otherwise)) if ago else F.col("value"))
-    got = F.collect_list(F.struct("ts", "cycle", "value")).over(x.past)
-    then = F.filter(got, lambda e: e["ts"] <= F.col("ts") - interval(ago))
-    last = F.element_at(then, -1)
-    pick = F.element_at(F.filter(then, lambda e: e["ts"] == last["ts"]), 1) if first else last
-    return x.with_value(F.when(F.size(then) > 0, pick["value"]).otherwise(F.lit(otherwise)))
+    if not ago:
+        return x
+    named = F.first("value").over(Window.partitionBy(*x.keys, "ts").orderBy("cycle")) if first else F.col("value")
+    then = F.last(F.struct("_v")).over(x.by_position.rangeBetween(Window.unboundedPreceding, bound(ago, True, False)))
+    got = x.df.withColumn("_v", named).withColumn("_then", then)
+    return Series(got.select(*x.keys, "ts", "cycle", F.when(F.col("_then").isNotNull(), F.col("_then._v")).otherwise(F.lit(otherwise)).alias("value")), x.keys)

@@ -9,9 +9,10 @@ from enum import Enum
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import StructType
 
-from ..series import Series, interval, spark_type
+from ..series import Series, bound, interval, spark_type
 from .algebra import demultiplex, sample
 from .baskets import attach, lifetimes
 
@@ -76,21 +77,21 @@ def values_between(x: Series, start: timedelta, end: timedelta = timedelta(0), s
     if start < end or end < timedelta(0):
         raise ValueError("a range runs from the past to now")
     lo, hi = F.col("ts") - interval(start), F.col("ts") - interval(end)
-    past = F.collect_list(F.struct("ts", "cycle", "value")).over(x.past)
-    after = (lambda e: e["ts"] > lo) if start_policy is Range.EXCLUSIVE else (lambda e: e["ts"] >= lo)
-    before = (lambda e: e["ts"] < hi) if end_policy is Range.EXCLUSIVE else (lambda e: e["ts"] <= hi)
-    pick: Callable[[Column], Column] = lambda e: F.struct(e["ts"].alias("ts"), e["value"].alias("value"))
-    got = F.transform(F.filter(past, lambda e: after(e) & before(e)), pick)
+    upto = 0 if not end and end_policy is not Range.EXCLUSIVE else bound(end, end_policy is not Range.EXCLUSIVE, False)
+    got = F.collect_list(F.struct("ts", "value")).over(x.by_position.rangeBetween(bound(start, start_policy is not Range.EXCLUSIVE, True), upto))
 
-    def as_of(t: Column) -> Column:
-        earlier = F.filter(past, lambda e: e["ts"] <= t)
-        return F.when(F.size(earlier) > 0, F.array(F.struct(t.alias("ts"), F.element_at(earlier, -1)["value"].alias("value")))).otherwise(F.slice(got, 1, 0))
+    def as_of(ago: timedelta, t: Column) -> Column:
+        frame = x.by_position.rangeBetween(Window.unboundedPreceding, bound(ago, True, False) if ago else 0)
+        last = F.last(F.struct("value")).over(frame)
+        return F.when(last.isNotNull(), F.array(F.struct(t.alias("ts"), last["value"].alias("value")))).otherwise(F.slice(got, 1, 0))
 
+    first, newest = F.get(got, 0)["ts"], F.get(got, F.size(got) - 1)["ts"]
+    whole = got
     if start_policy is Range.EXTRAPOLATE:
-        got = F.when(F.exists(past, lambda e: e["ts"] == lo), got).otherwise(F.concat(as_of(lo), got))
+        whole = F.when(first.eqNullSafe(lo), whole).otherwise(F.concat(as_of(start, lo), whole))
     if end_policy is Range.EXTRAPOLATE:
-        got = F.when(F.exists(past, lambda e: e["ts"] == hi), got).otherwise(F.concat(got, as_of(hi)))
-    return x.with_value(got)
+        whole = F.when(newest.eqNullSafe(hi), whole).otherwise(F.concat(whole, as_of(end, hi)))
+    return x.with_value(whole)
 
 
 # Structs: values are immutable, so each of these makes new ones.

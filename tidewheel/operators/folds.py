@@ -9,6 +9,7 @@ tidewheel.streaming.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -35,7 +36,9 @@ class Context:
     ticked_now: frozenset[str] = frozenset()
     state: dict[str, Any] = field(default_factory=dict)
     out: list[tuple] = field(default_factory=list)
-    alarms: list[tuple] = field(default_factory=list)
+    alarms: list[tuple] = field(default_factory=list)  # a heap of (time, cycle, number, name, value)
+    numbers: int = 0
+    cancelled: set[int] = field(default_factory=set)
 
     def ticked(self, *names: str) -> bool:
         return any(n in self.ticked_now for n in names)
@@ -54,13 +57,44 @@ class Context:
 
     def schedule(self, name: str, after: timedelta, value: Any = True) -> tuple:
         """An alarm tick of `name`; with no delay it comes in the next cycle."""
-        alarm = (self.now + after, self.cycle + 1 if not after else 0, len(self.alarms), name, value)
-        self.alarms.append(alarm)
+        self.numbers += 1
+        alarm = (self.now + after, self.cycle + 1 if not after else 0, self.numbers, name, value)
+        heapq.heappush(self.alarms, alarm)
         return alarm
 
     def cancel(self, alarm: tuple) -> None:
-        if alarm in self.alarms:
-            self.alarms.remove(alarm)
+        """Takes an alarm off; one that is off or has come is left."""
+        if any(a[2] == alarm[2] for a in self.alarms):
+            self.cancelled.add(alarm[2])
+
+    def next_alarm(self) -> tuple | None:
+        """The first alarm that is not cancelled."""
+        while self.alarms and self.alarms[0][2] in self.cancelled:
+            self.cancelled.remove(heapq.heappop(self.alarms)[2])
+        return self.alarms[0] if self.alarms else None
+
+    def tick(self, step: Step, ts: Any, cycle: int, new: dict[str, Any]) -> None:
+        """One cycle: step runs with the inputs that are new."""
+        self.now, self.cycle = ts, cycle
+        self.values.update(new)
+        for n in new:
+            self.ticks[n] = self.ticks.get(n, 0) + 1
+        self.ticked_now = frozenset(new)
+        step(self)
+
+    def run_alarms(self, step: Step, before: tuple | None = None, end: Any = None) -> None:
+        """Runs the alarms before a (time, cycle), and up to the time end."""
+        while (a := self.next_alarm()) and (before is None or a[:2] < before) and (end is None or a[0] <= end):
+            heapq.heappop(self.alarms)
+            self.tick(step, a[0], a[1], {a[3]: a[4]})
+
+    def advance(self, step: Step, ts: Any, cycle: int, new: dict[str, Any], end: Any = None) -> None:
+        """The alarms before a cycle of inputs, then that, with its alarms."""
+        self.run_alarms(step, (ts, cycle), end)
+        while (a := self.next_alarm()) and a[:2] == (ts, cycle):
+            heapq.heappop(self.alarms)
+            new = {**new, a[3]: a[4]}
+        self.tick(step, ts, cycle, new)
 
 
 Step = Callable[[Context], None]
@@ -71,30 +105,9 @@ def run_fold(rows: Iterator[tuple], names: tuple[str, ...], step: Step, init: di
     in order, with the alarms that it schedules up to end."""
     c = Context(state={k: v() if callable(v) else v for k, v in init.items()})
 
-    def tick(ts: Any, cycle: int, new: dict[str, Any]) -> None:
-        c.now, c.cycle = ts, cycle
-        c.values.update(new)
-        for n in new:
-            c.ticks[n] = c.ticks.get(n, 0) + 1
-        c.ticked_now = frozenset(new)
-        step(c)
-
-    def due(before: tuple | None) -> None:
-        while c.alarms:
-            a = min(c.alarms)
-            if before is not None and a[:2] >= before or end is not None and a[0] > end:
-                return
-            c.alarms.remove(a)
-            tick(a[0], a[1], {a[3]: a[4]})
-
     for ts, cycle, new in rows:
-        due((ts, cycle))
-        same = [a for a in c.alarms if a[:2] == (ts, cycle)]
-        for a in same:
-            c.alarms.remove(a)
-            new = {**new, a[3]: a[4]}
-        tick(ts, cycle, new)
-    due(None)
+        c.advance(step, ts, cycle, new, end)
+    c.run_alarms(step, None, end)
     if stop:
         stop(c)
     return c.out

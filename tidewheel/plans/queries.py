@@ -36,13 +36,18 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def _of(*args, **kwargs) -> Series:
+    """A series of a table that has one tick for each key and time."""
+    return Series.of(*args, **{"unique": True} | kwargs)
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def events(spark: SparkSession, d: str, kind: str | None = None, value: str | Column = "value", keys: tuple[str, ...] = KEY) -> Series:
     df = table(spark, d, "events")
-    return Series.of(df.where(F.col("event_type") == kind) if kind else df, "ts", value, keys)
+    return _of(df.where(F.col("event_type") == kind) if kind else df, "ts", value, keys)
 
 
 def shown(s: Series, **value: Column) -> DataFrame:
@@ -139,7 +144,7 @@ def combine_latest_spread(spark, d):
 @query("""select o_custkey, ts, cycle::int as cycle, value from (select o_custkey, o_orderdate as ts, row_number() over (partition by o_custkey, o_orderdate order by o_orderkey) - 1 as cycle, o_orderstatus as value,
   lag(o_orderstatus) over (partition by o_custkey order by o_orderdate, o_orderkey) as before from orders) where before is distinct from value""")
 def drop_dups_status(spark, d):
-    s = Series.of(table(spark, d, "orders"), "o_orderdate", "o_orderstatus", ("o_custkey",), ("o_orderkey",), unique=False)
+    s = _of(table(spark, d, "orders"), "o_orderdate", "o_orderstatus", ("o_custkey",), ("o_orderkey",), unique=False)
     return a.drop_dups(s).df
 
 
@@ -175,7 +180,7 @@ def demultiplex_key(spark, d):
 @query("select event_type, ts, value from events e where exists (select 1 from events) and (ts, event_type) <= ((select min(ts) from events x where x.event_type = e.event_type and x.value > 99), event_type)")
 def stop_engine(spark, d):
     df = table(spark, d, "events")
-    return shown(a.stop_at(Series.of(df, keys=("event_type",)), Series.of(df.where("value > 99"), keys=("event_type",))))
+    return shown(a.stop_at(_of(df, keys=("event_type",)), _of(df.where("value > 99"), keys=("event_type",))))
 
 
 @query("select user_id, ts, value from events union all select user_id, timestamp '2024-01-05', -1.0 from events group by user_id having min(ts) > timestamp '2024-01-05'")
@@ -299,7 +304,7 @@ LINES = "(select l_partkey, l_shipdate as ts, sum(l_quantity) as q, round(sum(l_
 
 def _lines(spark, d, value):
     df = table(spark, d, "lineitem").groupBy("l_partkey", F.col("l_shipdate").alias("ts")).agg(F.sum("l_quantity").alias("q"), F.round(F.sum("l_extendedprice"), 2).alias("p"))
-    return Series.of(df, "ts", value, ("l_partkey",))
+    return _of(df, "ts", value, ("l_partkey",))
 
 
 def _pairs(sql: str, digits: int) -> str:
@@ -321,16 +326,43 @@ def weighted_mean_price(spark, d):
     return shown(stats.mean(_lines(spark, d, "p"), Rules(10), _lines(spark, d, "q")), value=near(2))
 
 
-@query(_pairs("(sum(q * p * p) @ - (sum(q * p) @) * (sum(q * p) @) / sum(q) @) / (sum(q) @ - 1)", 0))
+@query(_pairs("(sum(q * d * d) @ - (sum(q * d) @) * (sum(q * d) @) / sum(q) @) / (sum(q) @ - 1)", 4).replace(LINES, f"(select *, p - avg(p) over (partition by l_partkey) as d from {LINES})"))
 def weighted_var_price(spark, d):
-    return shown(stats.var(_lines(spark, d, "p"), Rules(10), weights=_lines(spark, d, "q")), value=near(0))
+    return shown(stats.var(_lines(spark, d, "p"), Rules(10), weights=_lines(spark, d, "q")), value=near(4))
+
+
+TIED = "(select l_partkey, l_shipdate::timestamp as ts, l_quantity as q, row_number() over (partition by l_partkey, l_shipdate order by l_orderkey, l_linenumber) as n from lineitem)"
+
+
+def _tied(spark, d):
+    """Several lines of a part on one day."""
+    return Series.of(table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("double")), "l_shipdate", "q", ("l_partkey",), ("l_orderkey", "l_linenumber"))
+
+
+def _tied_sql(value: str) -> str:
+    return f"select a.l_partkey, a.ts, (a.n - 1)::int as cycle, {value} as value from {TIED} a join {TIED} b on a.l_partkey = b.l_partkey and b.ts > a.ts - interval 30 day and (b.ts < a.ts or b.ts = a.ts and b.n <= a.n) group by a.l_partkey, a.ts, a.n"
+
+
+@query(_tied_sql("round(sum(b.q), 6)::double"))
+def roll_sum_time_ties(spark, d):
+    return stats.sum(_tied(spark, d), Rules(timedelta(days=30), timedelta(0))).df.select("l_partkey", "ts", "cycle", F.round("value", 6).alias("value"))
+
+
+@query(_tied_sql("count(*)::double"))
+def roll_count_time_ties(spark, d):
+    return stats.count(_tied(spark, d), Rules(timedelta(days=30), timedelta(0))).df
+
+
+@query(f"select l_partkey, ts, (n - 1)::int as cycle, (select b.q from {TIED} b where b.l_partkey = a.l_partkey and b.ts <= a.ts - interval 10 day order by b.ts desc, b.n desc limit 1)::double as value from {TIED} a")
+def value_at_time_ties(spark, d):
+    return a.value_at(_tied(spark, d), timedelta(days=10)).df
 
 
 @query("select user_id, ts, round(avg(value) over (partition by user_id, ts::date order by ts), 6) as value from events")
 def expanding_mean_reset_daily(spark, d):
     df = table(spark, d, "events")
     firsts = df.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("ts")).withColumn("value", F.lit(True))
-    return shown(stats.mean(events(spark, d), Rules(reset=Series.of(firsts, keys=KEY))), value=r6())
+    return shown(stats.mean(events(spark, d), Rules(reset=_of(firsts, keys=KEY))), value=r6())
 
 
 @query("select t.ts, round(coalesce(sum(e.value), 0), 6) as value from (select unnest(generate_series(timestamp '2024-01-02', timestamp '2024-02-01', interval 1 day)) as ts) t left join events e on e.event_type = 'purchase' and e.ts <= t.ts and e.ts > t.ts - interval 3 day group by t.ts having t.ts >= timestamp '2024-01-04'")
@@ -420,7 +452,7 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 def _daily(spark, d):
     df = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderpriority").alias("p")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
-    return Series.of(df, "ts", "v", ("p",))
+    return _of(df, "ts", "v", ("p",))
 
 
 @query(f"select ts, array_to_string([{', '.join(f'cast(round(coalesce(max(case when p = {chr(39)}{p}{chr(39)} then v end), -0.01) * 100) as bigint)' for p in PRIORITIES)}], ',') as value from {DAILY} group by ts")
@@ -444,7 +476,7 @@ def basket_members_now(spark, d):
 @query("select vec_id, (i - 1)::int as idx, round(embedding[i]::double, 6) as value from (select *, unnest(generate_series(1, len(embedding))) as i from embeddings)")
 def array_to_basket(spark, d):
     df = table(spark, d, "embeddings")
-    s = Series.of(df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), "ts", F.transform("embedding", lambda v: v.cast("double")), ("vec_id",))
+    s = _of(df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), "ts", F.transform("embedding", lambda v: v.cast("double")), ("vec_id",))
     return b.from_array(s, "idx").df.select("vec_id", "idx", F.round("value", 6).alias("value"))
 
 
@@ -452,7 +484,7 @@ def array_to_basket(spark, d):
   from embeddings window w as (order by vec_id rows 9 preceding)) where n >= 10""")
 def cov_matrix_embeddings(spark, d):
     at = F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("interval '1' second") * F.col("vec_id")
-    s = Series.of(table(spark, d, "embeddings").withColumn("ts", at), "ts", F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 3))
+    s = _of(table(spark, d, "embeddings").withColumn("ts", at), "ts", F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 3))
     c = stats.cov_matrix(s, Rules(10))
     n = F.date_diff("ts", F.lit("2024-01-01")) * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     return c.df.select(n.cast("long").alias("vec_id"), *[F.round(F.col("value")[i][j], 6).alias(f"v{i + 1}{j + 1}") for i, j in ((0, 0), (0, 1), (2, 2))])
@@ -467,7 +499,7 @@ def wide_frame(spark, d):
   on x.user_id = l.user_id and x.ts >= l.a and (l.z is null or x.ts <= l.z) where x.event_type = 'click'""")
 def dynamic_attach(spark, d):
     df = table(spark, d, "events")
-    keys = Series.of(df.where("event_type in ('signup', 'error')"), "ts", F.col("event_type") == "signup", KEY)
+    keys = _of(df.where("event_type in ('signup', 'error')"), "ts", F.col("event_type") == "signup", KEY)
     return shown(b.attach(events(spark, d, "click"), b.lifetimes(keys)))
 
 
@@ -519,4 +551,4 @@ def dynamic_sub_graph(spark, d):
     from ..operators import dynamics as dy
 
     firsts = table(spark, d, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("ts")).withColumn("value", F.lit(True))
-    return shown(dy.dynamic(Series.of(firsts, keys=KEY), lambda x: a.count(x), attached={"x": events(spark, d, "click")}))
+    return shown(dy.dynamic(_of(firsts, keys=KEY), lambda x: a.count(x), attached={"x": events(spark, d, "click")}))

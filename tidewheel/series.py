@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,22 +56,42 @@ def micros(ts: str | Column) -> Column:
     return minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
+def position(ts: str = "ts", cycle: str = "cycle") -> Column:
+    """Twice the microseconds, and the cycle as a fraction under one half:
+    ascending with (ts, cycle), and whole numbers apart only by time, so that
+    bound() can bound windows in time whatever the number of cycles."""
+    return (micros(ts) * 2).cast("decimal(28,10)") + F.col(cycle).cast("decimal(20,0)") * F.lit(Decimal("0.0000000001"))
+
+
+def bound(ago: timedelta, closed: bool, start: bool) -> int:
+    """Offset on position() of the start or end of a frame `ago` before a
+    tick; closed: with the ticks of that very time, in all of their cycles."""
+    twice = 2 * ((ago.days * 86_400 + ago.seconds) * 1_000_000 + ago.microseconds)
+    return -twice + ((-1 if closed else 1) if start else (1 if closed else -1))
+
+
 @dataclass(frozen=True)
 class Series:
     df: DataFrame
     keys: tuple[str, ...] = ()
 
     @classmethod
-    def of(cls, df: DataFrame, ts: str = "ts", value: str | Column = "value", keys: tuple[str, ...] = (), order: tuple[str, ...] = (), unique: bool = True) -> Series:
-        """A series from the columns of df. unique: no two ticks of a key
-        share a timestamp, as most sources ensure; otherwise they are numbered
-        in the given order."""
+    def of(cls, df: DataFrame, ts: str = "ts", value: str | Column = "value", keys: tuple[str, ...] = (), order: tuple[str, ...] = (), unique: bool = False) -> Series:
+        """A series from the columns of df. Ticks of a key that share a
+        timestamp are numbered in the given order, or else by a hash of their
+        values. unique says that there are none, which saves the numbering;
+        where that is wrong, operators may merge such ticks."""
         v = F.col(value) if isinstance(value, str) else value
         cols = [*(F.col(k) for k in keys), F.col(ts).cast("timestamp_ntz").alias("ts")]
         if unique:
             return cls(df.select(*cols, F.lit(0).alias("cycle"), v.alias("value")), keys)
-        nth = Window.partitionBy(*keys, ts).orderBy(*(order or (ts,)))
-        return cls(df.select(*cols, (F.row_number().over(nth) - 1).alias("cycle"), v.alias("value")), keys)
+        same = order or ("_by",)
+        rows = df.select(*cols, v.alias("value"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(order)])
+        rows = rows if order else rows.withColumn("_by", F.lit(0) if "map<" in dict(rows.dtypes)["value"] else F.xxhash64("value"))
+        # Over the keys alone, so that what follows finds the ticks dealt out already.
+        by_time = Window.partitionBy(*keys).orderBy("ts")
+        number = F.row_number().over(by_time.orderBy("ts", *(f"_{k}" if order else c for k, c in enumerate(same)))) - F.rank().over(by_time)
+        return cls(rows.select(*keys, "ts", number.cast("int").alias("cycle"), "value"), keys)
 
     @property
     def past(self) -> WindowSpec:
@@ -81,6 +102,10 @@ class Series:
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy("ts", "cycle")
 
+    @property
+    def by_position(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(position())
+
     def map(self, fn: Callable[[Column], Column]) -> Series:
         return self.with_value(fn(F.col("value")))
 

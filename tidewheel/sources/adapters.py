@@ -101,8 +101,8 @@ def stream_of(spark: SparkSession, name: str, kind: str, read: Callable[[dict],
     return spark.readStream.format(name).load()
 
 
-def log_ticks(x: Series, tag: str, level: int = logging.INFO, logger: logging.Logger | None = None, n: int = 1000) -> None:
-    """The first n ticks to a logger."""
+def log_ticks(x: Series, tag: str, level: int = logging.INFO, logger: logging.Logger | None = None, n: int | None = None) -> None:
+    """All ticks, or the first n, to a logger."""
     out = logger or logging.getLogger("tidewheel")
-    for r in x.sorted().limit(n).collect():
+    for r in (x.sorted() if n is None else x.sorted().limit(n)).toLocalIterator():
         out.log(level, "%s %s:%s", r["ts"], tag, r["value"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..series import RunSpec, Series, interval, spine
+from ..series import RunSpec, Series, bound, position, spine
 
 
 def last_ticks(x: Series, n: int) -> list[tuple]:
@@ -51,19 +51,23 @@ def to_pandas(run: RunSpec | None = None, **columns: Series) -> pd.DataFrame:
     return df.orderBy("ts", "cycle").drop("cycle").toPandas().set_index("ts")
 
 
-def frames(trigger: Series, window: int | timedelta, wait_all_valid: bool = False, **columns: Series) -> Series:
-    """At each tick of trigger the trailing frame: for each column a list of
+def frames(trigger: Series, window: int | timedelta, wait_all_valid: bool = True, **columns: Series) -> Series:
+    """At each tick of trigger, once all columns have ticked (unless
+    wait_all_valid is false), the trailing frame: for each column a list of
     its last ticks (ts, value), by number or by time."""
     rows = spine(trigger.keys, _t=trigger, **columns)
     past = Window.partitionBy(*trigger.keys).orderBy("ts", "cycle").rowsBetween(Window.unboundedPreceding, 0)
-    parts = []
+    parts, ok = [], F.col("_t_ticked")
     for n in columns:
-        got = F.collect_list(F.when(F.col(f"{n}_ticked"), F.struct("ts", F.col(n).alias("value")))).over(past)
-        parts.append((F.slice(got, F.greatest(F.size(got) - window + 1, F.lit(1)), window) if isinstance(window, int) else F.filter(got, lambda e: e["ts"] > F.col("ts") - interval(window))).alias(n))
-    ok = F.lit(True)
-    for n in columns if wait_all_valid else ():
-        ok = ok & F.col(f"{n}_valid")
-    out = rows.withColumn("value", F.struct(*parts)).where(F.col("_t_ticked") & ok)
+        tick = F.when(F.col(f"{n}_ticked"), F.struct("ts", F.col(n).alias("value")))
+        if isinstance(window, int):  # rows up to the next tick have the same number, and no value but the first
+            rows = rows.withColumn(f"_n_{n}", F.sum(F.col(f"{n}_ticked").cast("int")).over(past))
+            frame = Window.partitionBy(*trigger.keys).orderBy(f"_n_{n}").rangeBetween(-(window - 1), 0)
+        else:
+            frame = Window.partitionBy(*trigger.keys).orderBy(position()).rangeBetween(bound(window, False, True), 0)
+        parts.append(F.collect_list(tick).over(frame).alias(n))
+        ok = ok & F.col(f"{n}_valid") if wait_all_valid else ok
+    out = rows.withColumn("value", F.struct(*parts)).where(ok)
     return Series(out.select(*trigger.keys, "ts", "cycle", "value"), trigger.keys)
 
 
@@ -79,7 +83,8 @@ def reshape_array(x: Series) -> Series:
     return x.with_value(rows)
 
 
-def print_ticks(tag: str, x: Series, n: int = 100, out: Callable[[str], None] = print) -> None:
-    """The first n ticks as "time tag:value" lines."""
-    for r in x.sorted().limit(n).collect():
+def print_ticks(tag: str, x: Series, n: int | None = None, out: Callable[[str], None] = print) -> None:
+    """All ticks, or the first n, as "time tag:value" lines; a partition is
+    on the driver at a time."""
+    for r in (x.sorted() if n is None else x.sorted().limit(n)).toLocalIterator():
         out(f"{r['ts']} {tag}:{r['value']}")

@@ -66,33 +66,39 @@ def sliding(df: DataFrame, keys: tuple[str, ...], size: str, every: str, late: s
     return out.select(*keys, F.col("_w.start").cast("timestamp_ntz").alias("window_start"), *aggs)
 
 
-def fold(df: DataFrame, keys: tuple[str, ...], step: Step, kind: str, init: dict[str, Any] | None = None, name: str = "name", idle: timedelta | None = None) -> DataFrame:
+def fold(df: DataFrame, keys: tuple[str, ...], step: Step, kind: str, init: dict[str, Any] | None = None, name: str = "name", idle: timedelta | None = None, late: str | None = None) -> DataFrame:
     """tidewheel.operators.fold over a stream of (keys, ts, cycle, name,
     value): `name` says which input ticks. Ticks of one batch are taken in
     time order; those older than a key's last one count as at that time.
-    State is dropped after a key has been idle, by wall clock."""
+    Alarms come before a later tick of their key, and, with `late` (how far
+    ticks may come behind the newest of all keys), once no earlier tick can
+    come any more. Without it, state may be dropped after a key has been idle,
+    by wall clock."""
+    if late is not None and idle is not None:
+        raise ValueError("state is kept by event time (late) or by wall clock (idle)")
     ship(df.sparkSession)
     types = dict(df.dtypes)
     out = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "ts timestamp_ntz", "cycle int", f"value {kind}"])
 
     def one(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if state.hasTimedOut and late is None:
             state.remove()
             return
         c: Context = pickle.loads(state.get[0]) if state.exists else Context(state={k: v() if callable(v) else v for k, v in (init or {}).items()})
-        rows = pd.concat(list(parts)).sort_values(["ts", "cycle"], kind="stable")
-        for (ts, cycle), group in rows.groupby(["ts", "cycle"], sort=True):
-            if c.now is not None and ts < c.now:
-                ts, cycle = c.now, c.cycle + 1
-            new = dict(zip(group[name], group["value"], strict=True))
-            c.now, c.cycle, c.ticked_now = ts, cycle, frozenset(new)
-            c.values.update(new)
-            for n in new:
-                c.ticks[n] = c.ticks.get(n, 0) + 1
-            step(c)
+        if state.hasTimedOut:
+            c.run_alarms(step, None, pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms"))
+        else:
+            rows = pd.concat(list(parts)).sort_values(["ts", "cycle"], kind="stable")
+            for (ts, cycle), group in rows.groupby(["ts", "cycle"], sort=True):
+                if c.now is not None and (ts, cycle) <= (c.now, c.cycle):
+                    ts, cycle = c.now, c.cycle + 1
+                c.advance(step, ts, int(cycle), dict(zip(group[name], group["value"], strict=True)))
         got, c.out = c.out, []
         state.update((pickle.dumps(c),))
-        if idle is not None:
+        if late is not None and (a := c.next_alarm()):
+            # A timeout comes after its millisecond has passed.
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(a[0]).timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif idle is not None:
             state.setTimeoutDuration(int(idle.total_seconds() * 1000))
         if got:
             made = pd.DataFrame({"ts": [g[0] for g in got], "cycle": [g[1] for g in got], "value": [g[2] for g in got]})
@@ -100,8 +106,9 @@ def fold(df: DataFrame, keys: tuple[str, ...], step: Step, kind: str, init: dict
                 made.insert(k, n, v)
             yield made.astype({"cycle": "int32"})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle is not None else GroupStateTimeout.NoTimeout
-    return df.groupBy(*keys).applyInPandasWithState(one, out, "state binary", "append", timeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if late is not None else GroupStateTimeout.ProcessingTimeTimeout if idle is not None else GroupStateTimeout.NoTimeout
+    dealt = df if late is None else df.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", late)
+    return dealt.groupBy(*keys).applyInPandasWithState(one, out, "state binary", "append", timeout)
 
 
 def catch_up(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
