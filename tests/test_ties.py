@@ -142,3 +142,12 @@ def test_printing_stops_nowhere(spark):
     out: list[str] = []
     sinks.print_ticks("x", s, out=out.append)
     assert len(out) == 1500 and RunSpec(START, US).end == START + US
+
+
+def test_bad_keys_raise_if_asked_to(spark):
+    x = Series.of(spark.createDataFrame([(START, 1.0), (START + 2 * US, 2.0)], "ts timestamp_ntz, value double"))
+    key = Series.of(spark.createDataFrame([(START, "a"), (START + US, "b")], "ts timestamp_ntz, value string"))
+    assert a.demultiplex(x, key, keys=["a"]).df.count() == 1
+    with pytest.raises(Exception, match="no such key: b"):
+        a.demultiplex(x, key, keys=["a"], raise_on_bad_key=True).df.collect()
+    assert ordered(a.binop(x, key, lambda v, k: v * 10)) == [10.0, 10.0, 20.0]

@@ -158,12 +158,13 @@ def multiplex(x: Series, key: Series, by: str, tick_on_index: bool = False) -> S
     return Series(out, rest)
 
 
-def demultiplex(x: Series, key: Series, name: str = "key", keys: list | None = None) -> Series:
+def demultiplex(x: Series, key: Series, name: str = "key", keys: list | None = None, raise_on_bad_key: bool = False) -> Series:
     """x as a basket: each tick under the latest key, which is kept in column
-    `name`; with keys, others are dropped."""
+    `name`; with keys, ticks under others are dropped or raise."""
     both = spine(x.keys, k=key, x=x).where(F.col("x_ticked") & F.col("k_valid"))
     if keys is not None:
-        both = both.where(F.col("k").isin(keys))
+        bad = F.raise_error(F.concat(F.lit("no such key: "), F.col("k").cast("string"))).cast("boolean") if raise_on_bad_key else F.lit(False)
+        both = both.where(F.when(F.col("k").isin(keys), F.lit(True)).otherwise(bad))
     return Series(both.select(*x.keys, F.col("k").alias(name), "ts", "cycle", F.col("x").alias("value")), (*x.keys, name))
 
 
@@ -186,6 +187,11 @@ def apply(x: Series, fn: Callable[[Column], Column]) -> Series:
     return x.map(fn)
 
 
+def binop(x: Series, y: Series, fn: Callable[[Column, Column], Column]) -> Series:
+    """fn of the latest values of both, whenever either ticks."""
+    return combine_latest(fn, x, y)
+
+
 def times(x: Series) -> Series:
     return x.with_value(F.col("ts"))
 

@@ -552,3 +552,62 @@ def dynamic_sub_graph(spark, d):
 
     firsts = table(spark, d, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("ts")).withColumn("value", F.lit(True))
     return shown(dy.dynamic(_of(firsts, keys=KEY), lambda x: a.count(x), attached={"x": events(spark, d, "click")}))
+
+
+_EMA = f"(select e.user_id, e.ts, sum(o.value * pow(0.8, e.n - o.n)) s, sum(o.k * pow(0.8, e.n - o.n)) r, sum(o.value * o.k * pow(0.8, e.n - o.n)) p, sum(o.value * o.value * pow(0.8, e.n - o.n)) q, sum(pow(0.8, e.n - o.n)) w, sum(pow(0.64, e.n - o.n)) v from (select *, event_id % 7 as k from {NUMBERED}) e join (select *, event_id % 7 as k from {NUMBERED}) o on e.user_id = o.user_id and o.n <= e.n group by e.user_id, e.ts having count(*) >= 2)"
+
+
+@query(f"select user_id, ts, {near_sql('(p / w - (s / w) * (r / w)) * w * w / (w * w - v)', 3)} as value from {_EMA}")
+def ema_covariance(spark, d):
+    y = events(spark, d, value=(F.col("event_id") % 7).cast("double"))
+    return shown(ewm.ema_cov(events(spark, d), y, alpha=0.2, min_periods=2), value=near(3))
+
+
+@query(f"select user_id, ts, {near_sql('sqrt(greatest(0, (q / w - (s / w) * (s / w)) * w * w / (w * w - v)))', 2)} as value from {_EMA}")
+def ema_deviation(spark, d):
+    return shown(ewm.ema_std(events(spark, d), alpha=0.2, min_periods=2), value=near(2))
+
+
+@query(f"""select t.ts, t.p, (select x.v from {DAILY} x where x.p = t.p and x.ts <= t.ts order by x.ts desc limit 1) as value
+  from (select distinct a.ts, b.p from {DAILY} a, (select distinct p from {DAILY}) b where day(a.ts) = 1) t where value is not null""")
+def sample_basket_monthly(spark, d):
+    daily = _daily(spark, d)
+    firsts = _of(daily.df.where(F.dayofmonth("ts") == 1).select("ts", F.lit(True).alias("value")).distinct())
+    return shown(b.sample_basket(firsts, daily, "p", PRIORITIES))
+
+
+@query(f"select ts, count(*) as n, round(sum(v), 2) as total from {DAILY} group by ts")
+def collect_daily(spark, d):
+    s = b.collect(_daily(spark, d), "p", datetime(1990, 1, 1))
+    return shown(s, n=F.size("value").cast("long"), total=F.round(F.aggregate("value", F.lit(0.0), lambda x, y: x + y), 2))
+
+
+@query(f"""select ts, (row_number() over (partition by ts order by before, p) - 1)::int as cycle, v as value
+  from (select *, coalesce(lag(ts) over (partition by p order by ts), timestamp '1990-01-01') as before from {DAILY})""")
+def flatten_daily(spark, d):
+    return b.flatten(_daily(spark, d), "p", datetime(1990, 1, 1)).df.select("ts", F.col("cycle").cast("int").alias("cycle"), "value")
+
+
+@query("select user_id, ts, cast(json_extract(props, '$.k') as double) as value from events where json_extract(props, '$.k') is not null")
+def struct_field_as_double(spark, d):
+    return shown(a.cast_int_to_float(a.struct_field(files.from_json(events(spark, d, value="props"), "struct<k: bigint>"), "k")))
+
+
+@query("select o_custkey, o_orderdate as ts, count(*) over (partition by o_custkey order by o_orderdate, o_orderkey) as n, (row_number() over (partition by o_custkey, o_orderdate order by o_orderkey) - 1)::int as cycle from orders")
+def numbered_ticks(spark, d):
+    s = Series.of(table(spark, d, "orders"), "o_orderdate", "o_totalprice", ("o_custkey",), ("o_orderkey",))
+    return a.count(s).df.select("o_custkey", "ts", F.col("value").alias("n"), "cycle")
+
+
+@query("""select event_id, round(value + k, 6) as added, round(value - k, 6) as less, round(value * k, 6) as product, round(pow(value / 10, 2), 6) as square, round(pow(2, k), 6) as two_to, -value as negative, round(cos(value), 6) as cosine, round(tan(k), 6) as tangent,
+  round(asin(k / 4), 6) as arcsine, round(acos(k / 4), 6) as arccosine, round(sinh(k), 6) as sineh, round(cosh(k), 6) as cosineh, round(asinh(value), 6) as arcsineh, round(acosh(k + 1), 6) as arccosineh, round(atanh(k / 5), 6) as arctanh,
+  value = k as same, value <> k as other, value > k as above, value < k as below, value >= k as least, value <= k as most, not (value > k) as unsaid, value > 1 and k > 1 as both, value > 99 or k > 3 as either from (select *, (event_id % 5)::double as k from events)""")
+def scalar_functions(spark, d):
+    v, k = F.col("value"), (F.col("event_id") % 5).cast("double")
+    r = lambda c: F.round(c, 6)
+    out = {
+        "added": r(m.add(v, k)), "less": r(m.sub(v, k)), "product": r(m.multiply(v, k)), "square": r(m.power(v / 10, F.lit(2.0))), "two_to": r(m.exp2(k)), "negative": m.neg(m.pos(v)), "cosine": r(m.cos(v)), "tangent": r(m.tan(k)), "arcsine": r(m.arcsin(k / 4)), "arccosine": r(m.arccos(k / 4)),
+        "sineh": r(m.sinh(k)), "cosineh": r(m.cosh(k)), "arcsineh": r(m.arcsinh(v)), "arccosineh": r(m.arccosh(k + 1)), "arctanh": r(m.arctanh(k / 5)), "same": m.eq(v, k), "other": m.ne(v, k), "above": m.gt(v, k), "below": m.lt(v, k), "least": m.ge(v, k), "most": m.le(v, k),
+        "unsaid": m.not_(m.gt(v, k)), "both": m.and_(v > 1, k > 1), "either": m.or_(v > 99, k > 3),
+    }
+    return table(spark, d, "events").select("event_id", *[c.alias(n) for n, c in out.items()])
