@@ -326,9 +326,9 @@ def weighted_mean_price(spark, d):
     return shown(stats.mean(_lines(spark, d, "p"), Rules(10), _lines(spark, d, "q")), value=near(2))
 
 
-@query(_pairs("(sum(q * d * d) @ - (sum(q * d) @) * (sum(q * d) @) / sum(q) @) / (sum(q) @ - 1)", 4).replace(LINES, f"(select *, p - avg(p) over (partition by l_partkey) as d from {LINES})"))
+@query(_pairs("(sum(q * d * d) @ - (sum(q * d) @) * (sum(q * d) @) / sum(q) @) / (sum(q) @ - 1)", 2).replace(LINES, f"(select *, p - avg(p) over (partition by l_partkey) as d from {LINES})"))
 def weighted_var_price(spark, d):
-    return shown(stats.var(_lines(spark, d, "p"), Rules(10), weights=_lines(spark, d, "q")), value=near(4))
+    return shown(stats.var(_lines(spark, d, "p"), Rules(10), weights=_lines(spark, d, "q")), value=near(2))
 
 
 TIED = "(select l_partkey, l_shipdate::timestamp as ts, l_quantity as q, row_number() over (partition by l_partkey, l_shipdate order by l_orderkey, l_linenumber) as n from lineitem)"
