@@ -184,6 +184,15 @@ def test_sentencepieces_query(spark, texts, codec):
         assert r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) and codec.decode(array("i", r["token_ids"])) == texts[r["doc_id"]]
 
 
+def test_ids_are_decoded(spark, texts):
+    encoded = queries.op2_sentencepieces(spark, DATA).withColumns({"ids": F.lit(1), "text": F.lit("clash")})
+    assert {r["doc_id"]: r["text"] for r in sentencepieces.decode_ids(encoded).collect()} == texts
+    odd_ = spark.createDataFrame([(None, None), (1, []), (2, [None, 15043])], "doc_id long, token_ids array<int>")
+    assert sorted(r["text"] for r in sentencepieces.decode_ids(odd_).collect())[:2] == ["", ""] and sentencepieces.decode_ids(odd_.limit(0)).count() == 0
+    with pytest.raises(Exception, match="not negative"):
+        sentencepieces.decode_ids(spark.createDataFrame([(1, [-1])], odd_.schema)).collect()
+
+
 # op3
 
 

@@ -213,7 +213,8 @@ def _codec(key: str, vocabulary: Vocabulary) -> Codec:
 def encode_texts(docs: DataFrame, model: str = MODEL, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, token_ids, n_tokens, decoded_sha256 (of the text that the ids
     decode to, UTF-8) and round_trip (whether that is the text) of each row.
-    A null text counts as empty and has no tokens. The driver reads the model
+    A null text counts as empty and has no tokens; long texts are encoded
+    whole; rows may repeat, and ids may be null. The driver reads the model
     file and ships the vocabulary (tens of thousands of pieces) in the task;
     executors need no file."""
     import hashlib
@@ -237,3 +238,23 @@ def encode_texts(docs: DataFrame, model: str = MODEL, text: str = "text", id_col
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     return map_batches(rows, run, f"doc_id {kind}, token_ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean")
+
+
+def decode_ids(rows: DataFrame, model: str = MODEL, ids: str = "token_ids", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text) of every row: the text that its ids decode to. Null or
+    no ids give an empty text; null ids among others give nothing; ids outside
+    the vocabulary raise. Rows may repeat, and doc_ids may be null."""
+    kind = dict(rows.dtypes)[id_col]
+    vocabulary = Vocabulary.load(model)
+
+    def checked(found: Iterable[int | None]) -> list[int]:
+        out = [i for i in found if i is not None]
+        if out and min(out) < 0:
+            raise IndexError("ids are not negative")
+        return out
+
+    def run(b: dict[str, list]) -> dict[str, list]:
+        codec = _codec(model, vocabulary)
+        return {"doc_id": b["doc_id"], "text": [codec.decode(checked(x or ())) for x in b["ids"]]}
+
+    return map_batches(rows.select(F.col(id_col).alias("doc_id"), F.col(ids).alias("ids")), run, f"doc_id {kind}, text string")
