@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver may
 write it as Parquet and read it again as the next one's docs. All stages but
-the last return the columns of documents.
+the last return the columns of documents, and further ones, whatever their
+names.
+
+In every stage a null text counts as empty, long texts are used whole, null
+ids and sources are values like others, and an empty table gives no rows. Rows
+that repeat an id and a text become one in the near-dedup stage, which keeps
+the least id of a component, rows without one last.
 """
 
 from __future__ import annotations
