@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions import math as m
 from .operators import algebra
@@ -57,6 +60,51 @@ class Frame:
     def apply(self, fn: Callable[[Column], Column]) -> Frame:
         return Frame(**{n: s.map(fn) for n, s in self._columns.items()})
 
+    def binop(self, fn: Callable[..., Series], other: Frame, *args: Any, **kwargs: Any) -> Frame:
+        """fn(x, y, ...) of each column and the same column of other."""
+        if set(other.columns) != set(self.columns):
+            raise KeyError(f"columns differ: {sorted(set(self.columns) ^ set(other.columns))}")
+        return Frame(**{n: fn(s, other._columns[n], *args, **kwargs) for n, s in self._columns.items()})
+
+    @classmethod
+    def flatten(cls, x: Series, columns: list[str] | None = None, name: str = "", delim: str = " ", recursive: bool = True) -> Frame:
+        """A column for each field of the structs of x, those of nested
+        structs too if recursive, with name before the fields' names. Columns
+        tick where their field is set."""
+        kind = x.df.schema["value"].dataType
+        if not isinstance(kind, StructType):
+            raise TypeError("values must be structs")
+        out: dict[str, Series] = {}
+        for f in columns or kind.fieldNames():
+            label, part = f"{name}{delim}{f}" if name else f, algebra.struct_field(x, f)
+            nested = recursive and isinstance(kind[f].dataType, StructType)
+            out |= cls.flatten(part, None, label, delim)._columns if nested else {label: part}
+        return cls(**out)
+
+    def collect(self, columns: list[str] | None = None, delim: str = " ") -> Series:
+        """Structs of the columns that tick in a cycle; delim in a column's
+        name leads into a nested struct, null if none of its fields ticks."""
+        names = columns or self.columns
+        keys = self._columns[names[0]].keys
+        # Numbered, since names that hold the delimiter are no names of columns.
+        ticks = algebra.struct_collect(keys, **{f"c{k}": self._columns[n] for k, n in enumerate(names)})
+        tree: dict[str, Any] = {}
+        for k, n in enumerate(names):
+            *path, leaf = n.split(delim)
+            at = tree
+            for p in path:
+                at = at.setdefault(p, {})
+            at[leaf] = F.col(f"value.c{k}")
+
+        def leaves(part: Any) -> list[Column]:
+            return [c for p in part.values() for c in leaves(p)] if isinstance(part, dict) else [part]
+
+        def struct(part: dict[str, Any]) -> Column:
+            made = {n: F.when(reduce(or_, [c.isNotNull() for c in leaves(p)]), struct(p)) if isinstance(p, dict) else p for n, p in part.items()}
+            return F.struct(*[c.alias(n) for n, c in made.items()])
+
+        return ticks.with_value(struct(tree))
+
     def wide(self):
         """One row for each cycle; null where a column does not tick."""
         keys = next(iter(self._columns.values())).keys

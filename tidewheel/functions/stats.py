@@ -15,7 +15,8 @@ of length d at (t, cycle) holds all cycles after t - d up to this one.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -346,33 +347,66 @@ def cross_sectional(x: Series, r: Rules) -> Series:
     return f.result(f.over(F.collect_list(F.when(F.col("_sampled"), F.col("x")))), poison=False)
 
 
-def each_element(stat, x: Series, r: Rules, *args, **kwargs) -> Series:
-    """A statistic of every element of array values, as arrays."""
+def _shared(r: Rules, weights: Series | None, size: int | None, members: Callable[[DataFrame, int], DataFrame], names: tuple[str, ...]) -> tuple[Rules, Series | None]:
+    """The rules and weights of arrays, for each of their elements: a copy of
+    the ticks of trigger, sampler, reset and weights for every member."""
+
+    def dealt(s: Series | None) -> Series | None:
+        if s is None:
+            return None
+        if size is None:
+            raise ValueError("trigger, sampler, reset and weights of arrays need the arrays' size")
+        return Series(members(s.df, size).select(*s.keys, *names, "ts", "cycle", "value"), (*s.keys, *names))
+
+    return replace(r, trigger=dealt(r.trigger), sampler=dealt(r.sampler), reset=dealt(r.reset)), dealt(weights)
+
+
+def each_element(stat, x: Series, r: Rules, *args, size: int | None = None, weights: Series | None = None, **kwargs) -> Series:
+    """A statistic of every element of array values, as arrays; size is the
+    arrays' length, needed with weights or a trigger, sampler or reset."""
     from ..operators.baskets import from_array
 
-    parts = stat(from_array(x, "_idx"), r, *args, **kwargs)
+    r, weights = _shared(r, weights, size, lambda df, n: df.withColumn("_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), ("_idx",))
+    parts = stat(from_array(x, "_idx", size), r, *args, **kwargs, **({"weights": weights} if weights is not None else {}))
     rows = parts.df.groupBy(*x.keys, "ts", "cycle").agg(F.transform(F.array_sort(F.collect_list(F.struct("_idx", "value"))), lambda e: e["value"]).alias("value"))
     return Series(rows, x.keys)
 
 
-def _matrix(stat, x: Series, r: Rules, **kwargs) -> Series:
+def _matrix(stat, x: Series, r: Rules, size: int | None, weights: Series | None, **kwargs) -> Series:
+    """A symmetric statistic of all pairs of elements: the pairs (i, j) with
+    i <= j are series of their own, put together again by one grouping."""
+
+    def pairs_of(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1))))
+
+    r, weights = _shared(r, weights, size, pairs_of, ("_i", "_j"))
     rows = x.df.select(*x.keys, "ts", "cycle", "value", F.posexplode("value").alias("_i", "_x"))
-    pairs = rows.select(*x.keys, "ts", "cycle", "_i", "_x", F.posexplode("value").alias("_j", "_y"))
+    rest = F.slice("value", F.col("_i") + 1, F.size("value"))
+    pairs = rows.select(*x.keys, "ts", "cycle", "_i", "_x", F.posexplode(rest).alias("_k", "_y")).withColumn("_j", F.col("_i") + F.col("_k"))
     keys = (*x.keys, "_i", "_j")
     pick = lambda n: Series(pairs.select(*keys, "ts", "cycle", F.col(n).cast("double").alias("value")), keys)
-    out = stat(pick("_x"), pick("_y"), r, **kwargs).df
-    line = out.groupBy(*x.keys, "ts", "cycle", "_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "value"))), lambda e: e["value"]).alias("row"))
-    full = line.groupBy(*x.keys, "ts", "cycle").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "row"))), lambda e: e["row"]).alias("value"))
-    return Series(full, x.keys)
+    out = stat(pick("_x"), pick("_y"), r, weights=weights, **kwargs).df
+    half = out.groupBy(*x.keys, "ts", "cycle").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_j", "value"))), lambda e: e["value"]).alias("_half"))
+    half = half.withColumn("_n", ((F.sqrt(F.size("_half") * 8 + 1) - 1) / 2).cast("int"))
+    each = F.sequence(F.lit(0), F.col("_n") - 1)
+
+    def entry(i: Column, j: Column) -> Column:
+        lo, hi = F.least(i, j), F.greatest(i, j)
+        return F.get("_half", lo * F.col("_n") - F.shiftright(lo * (lo - 1), 1) + hi - lo)
+
+    full = F.transform(each, lambda i: F.transform(each, lambda j: entry(i, j)))
+    return Series(half.select(*x.keys, "ts", "cycle", full.alias("value")), x.keys)
 
 
-def cov_matrix(x: Series, r: Rules, ddof: int = 1) -> Series:
-    """Covariances of all pairs of elements of array values."""
-    return _matrix(cov, x, r, ddof=ddof)
+def cov_matrix(x: Series, r: Rules, ddof: int = 1, weights: Series | None = None, size: int | None = None) -> Series:
+    """Covariances of all pairs of elements of array values; size is the
+    arrays' length, needed with weights or a trigger, sampler or reset."""
+    return _matrix(cov, x, r, size, weights, ddof=ddof)
 
 
-def corr_matrix(x: Series, r: Rules) -> Series:
-    return _matrix(corr, x, r)
+def corr_matrix(x: Series, r: Rules, weights: Series | None = None, size: int | None = None) -> Series:
+    """Correlations, as cov_matrix() has covariances."""
+    return _matrix(corr, x, r, size, weights)
 
 
 def tumbling(df: DataFrame, keys: tuple[str, ...], every: str, **aggs: Column) -> DataFrame:

@@ -87,7 +87,9 @@ def attach(x: Series, lives: Series) -> Series:
 
 def reduce_members(basket: Series, member: str, members: list, how: str, ddof: int = 1, skipna: bool = True) -> Series:
     """A reduction across members at each cycle, of their latest values once
-    all are valid: all any min max sum prod mean median std var sem."""
+    all are valid: all any min max sum prod mean median std var sem skew kurt.
+    Skew (of 3 members or more) and excess kurtosis (4) are unbiased, and 0 where
+    the members are equal."""
     held = to_array(basket, member, members, hold=True)
     ok = F.filter(F.col("value"), lambda v: ~F.isnan(v)) if skipna else F.col("value")
     rows = held.df.withColumn("_v", ok).where(F.size("_v") > 0)
@@ -96,8 +98,17 @@ def reduce_members(basket: Series, member: str, members: list, how: str, ddof: i
     mean = total / n
     var = F.when(n > ddof, F.aggregate(v, F.lit(0.0), lambda a, e: a + (e - mean) * (e - mean)) / F.nullif(n - ddof, F.lit(0))).otherwise(F.lit(float("nan")))
     s = F.array_sort(v)
+    d = n.cast("double")
+    power = lambda p: F.aggregate(v, F.lit(0.0), lambda a, e: a + F.pow(e - mean, F.lit(p)))
+    second, third, fourth = power(2), power(3), power(4)
+    least = F.nullif(second, F.lit(0.0))
+    skew = F.coalesce(F.sqrt(d * (d - 1)) * F.sqrt(d) * third / F.nullif(d - 2, F.lit(0.0)) / F.pow(least, F.lit(1.5)), F.lit(0.0))
+    pairs = F.nullif((d - 2) * (d - 3), F.lit(0.0))
+    kurt = F.coalesce(d * (d + 1) * (d - 1) * fourth / pairs / (least * least) - 3 * (d - 1) * (d - 1) / pairs, F.lit(0.0))
+    nan = F.lit(float("nan"))
     forms = {
         "all": F.forall(v, lambda e: e != 0), "any": F.exists(v, lambda e: e != 0), "min": F.array_min(v), "max": F.array_max(v), "sum": total, "prod": F.aggregate(v, F.lit(1.0), lambda a, e: a * e), "mean": mean,
         "median": (F.element_at(s, ((n + 1) / 2).cast("int")) + F.element_at(s, ((n + 2) / 2).cast("int"))) / 2, "var": var, "std": F.sqrt(var), "sem": F.sqrt(var / n),
+        "skew": F.when(n > 2, skew).otherwise(nan), "kurt": F.when(n > 3, kurt).otherwise(nan),
     }
     return Series(rows.select(*held.keys, "ts", "cycle", forms[how].alias("value")), held.keys)

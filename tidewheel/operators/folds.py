@@ -39,6 +39,7 @@ class Context:
     alarms: list[tuple] = field(default_factory=list)  # a heap of (time, cycle, number, name, value)
     numbers: int = 0
     cancelled: set[int] = field(default_factory=set)
+    passive: set[str] = field(default_factory=set)
 
     def ticked(self, *names: str) -> bool:
         return any(n in self.ticked_now for n in names)
@@ -49,6 +50,18 @@ class Context:
     def num_ticks(self, name: str) -> int:
         return self.ticks.get(name, 0)
 
+    def make_passive(self, *names: str) -> None:
+        """Ticks of these inputs alone no longer call the step."""
+        self.passive.update(names)
+
+    def make_active(self, *names: str) -> None:
+        self.passive.difference_update(names)
+
+    def emit_to(self, name: str, value: Any) -> None:
+        """A value of one of several outputs, see fold_many()."""
+        same = self.out and self.out[-1][:2] == (self.now, self.cycle)
+        self.emit({**(self.out[-1][2] if same else {}), name: {"value": value}})
+
     def emit(self, value: Any) -> None:
         """At most one value a cycle; the last one counts."""
         if self.out and self.out[-1][:2] == (self.now, self.cycle):
@@ -80,7 +93,8 @@ class Context:
         for n in new:
             self.ticks[n] = self.ticks.get(n, 0) + 1
         self.ticked_now = frozenset(new)
-        step(self)
+        if not self.ticked_now or not self.ticked_now <= self.passive:
+            step(self)
 
     def run_alarms(self, step: Step, before: tuple | None = None, end: Any = None) -> None:
         """Runs the alarms before a (time, cycle), and up to the time end."""
@@ -138,12 +152,21 @@ def fold(step: Step, kind: str, keys: tuple[str, ...] = (), init: dict[str, Any]
     return Series(grouped.applyInArrow(one, schema), keys)
 
 
-def node(kind: str, **state: Any) -> Callable[[Step], Callable[..., Series]]:
-    """Decorator: makes a step an operator over named series."""
+def fold_many(step: Step, kinds: dict[str, str], keys: tuple[str, ...] = (), init: dict[str, Any] | None = None, run: RunSpec | None = None, stop: Step | None = None, **inputs: Series) -> dict[str, Series]:
+    """A fold with several named outputs, each of its own kind: step emits to
+    them with emit_to(). Each output that is used runs the fold; checkpoint
+    the inputs, or write the outputs, where that is dear."""
+    both = fold(step, "struct<" + ", ".join(f"`{n}`: struct<value: {k}>" for n, k in kinds.items()) + ">", keys, init, run, stop, **inputs)
+    return {n: both.with_value(F.col("value")[n]["value"], F.col("value")[n].isNotNull()) for n in kinds}
+
+
+def node(kind: str | dict[str, str], **state: Any) -> Callable[[Step], Callable[..., Any]]:
+    """Decorator: makes a step an operator over named series; with a dict of
+    kinds, one with as many named outputs."""
 
-    def wrap(step: Step) -> Callable[..., Series]:
-        def operator(keys: tuple[str, ...] = (), run: RunSpec | None = None, **inputs: Series) -> Series:
-            return fold(step, kind, keys, state, run, **inputs)
+    def wrap(step: Step) -> Callable[..., Any]:
+        def operator(keys: tuple[str, ...] = (), run: RunSpec | None = None, **inputs: Series) -> Any:
+            return (fold_many if isinstance(kind, dict) else fold)(step, kind, keys, state, run, **inputs)
 
         operator.__name__, operator.__doc__ = step.__name__, step.__doc__
         return operator
@@ -211,10 +234,14 @@ def feedback(step: Callable[[Any, Any], Any], x: Series, kind: str, initial: Any
     return fold(one, kind, x.keys, {"y": initial}, x=x)
 
 
-def expression(text: str, kind: str = "double", keys: tuple[str, ...] = (), trigger: Series | None = None, constants: dict[str, float] | None = None, **inputs: Series) -> Series:
+def expression(text: str, kind: str = "double", keys: tuple[str, ...] = (), trigger: Series | None = None, constants: dict[str, float] | None = None, functions: dict[str, tuple[tuple[str, ...], str]] | None = None, **inputs: Series) -> Series:
     """A formula, in SQL, of the latest values of the inputs whenever one
-    ticks (or trigger does), once all are valid."""
+    ticks (or trigger does), once all are valid. functions are the formula's
+    own, as (parameters, body) over doubles, and are temporary functions of
+    the session; a formula with an array as its value has the kind of one."""
     rows = spine(keys, **inputs, **({"_t": trigger} if trigger is not None else {}))
+    for name, (parameters, body) in (functions or {}).items():
+        rows.sparkSession.sql(f"create or replace temporary function `{name}`({', '.join(f'`{p}` double' for p in parameters)}) returns double return {body}")
     for k, v in (constants or {}).items():
         rows = rows.withColumn(k, F.lit(v))
     ok = F.col("_t_ticked") if trigger is not None else F.lit(True)

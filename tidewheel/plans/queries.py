@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import ewm, stats
 from ..functions import math as m
@@ -611,3 +612,70 @@ def scalar_functions(spark, d):
         "unsaid": m.not_(m.gt(v, k)), "both": m.and_(v > 1, k > 1), "either": m.or_(v > 99, k > 3),
     }
     return table(spark, d, "events").select("event_id", *[c.alias(n) for n, c in out.items()])
+
+
+@query(f"""select ts, {near_sql("coalesce(skewness(v), 'nan'::double)", 4)} as skew, {near_sql("coalesce(kurtosis(v), 'nan'::double)", 4)} as kurt, {near_sql('median(v)', 2)} as middle
+  from (select t.ts, x.v from (select a.ts, b.p from (select distinct ts from {DAILY}) a, (select distinct p from {DAILY}) b) t asof join {DAILY} x on t.p = x.p and t.ts >= x.ts) group by ts""")
+def member_shape_daily(spark, d):
+    daily = _daily(spark, d)
+    parts = {n: b.reduce_members(daily, "p", PRIORITIES, how) for n, how in (("skew", "skew"), ("kurt", "kurt"), ("middle", "median"))}
+    return sinks.wide((), **parts).select("ts", near(4, "skew").alias("skew"), near(4, "kurt").alias("kurt"), near(2, "middle").alias("middle"))
+
+
+@query("""select vec_id, 64 as n, round(var_samp(s) over w, 6) as total, round(q, 6) as trace from (select vec_id, s, row_number() over (order by vec_id) as nth, (select sum(var) from (select var_samp(y.embedding[i]::double) as var from embeddings y, unnest(generate_series(1, 64)) as g(i) where y.vec_id between x.vec_id - 9 and x.vec_id group by i)) as q
+  from (select vec_id, list_sum(embedding::double[]) as s from embeddings) x) window w as (order by vec_id rows 9 preceding) qualify nth >= 10""")
+def cov_matrix_whole(spark, d):
+    """All 64 x 64 covariances: their sum is the variance of the vectors' sums,
+    their diagonal the elements' variances."""
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("interval '1' second") * F.col("vec_id")
+    s = _of(table(spark, d, "embeddings").withColumn("ts", at), "ts", F.transform("embedding", lambda v: v.cast("double")))
+    c = stats.cov_matrix(s, Rules(10))
+    n = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda x, y: x + y)
+    diagonal = F.transform("value", lambda r, i: r[i])
+    return c.df.select(n.alias("vec_id"), F.size("value").alias("n"), F.round(add(F.transform("value", add)), 6).alias("total"), F.round(add(diagonal), 6).alias("trace"))
+
+
+@query("""select user_id, event_id as at, (user_id % 4)::int as place, max(ts) over (partition by user_id % 4 order by event_id % 97, event_id) as ts, cast(json_extract(props, '$.k') as bigint) as k from events""")
+def kafka_messages(spark, d):
+    from .. import streaming
+
+    nth = F.row_number().over(Window.partitionBy(F.col("user_id") % 4).orderBy(F.col("event_id") % 97, "event_id"))
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct(F.from_json("props", "k bigint").alias("body"), F.col("event_id").alias("id"))).cast("binary").alias("value"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("user_id") % 4).cast("int").alias("partition"), nth.cast("long").alias("offset"), F.lit("events").alias("topic"))
+    got = streaming.decode_messages(rows, "body struct<k: bigint>, id bigint", {"body": "body", "id": "at"}, {"partition": "place"}, adjust_out_of_order_time=True)
+    return got.select(F.col("key").cast("long").alias("user_id"), "value.at", "value.place", "ts", "value.body.k")
+
+
+@query(f"select user_id, ts, case when n % 2 = 0 then n end as even, case when value = top then value end as top from (select *, row_number() over ({W}) as n, max(value) over ({W}) as top from events) where n % 2 = 0 or value = top")
+def node_outputs(spark, d):
+    @f.node({"even": "bigint", "top": "double"}, n=0, top=float("-inf"))
+    def spread(c: f.Context) -> None:
+        c.state["n"] += 1
+        if c.state["n"] % 2 == 0:
+            c.emit_to("even", c.state["n"])
+        if c.values["x"] >= c.state["top"]:
+            c.state["top"] = c.values["x"]
+            c.emit_to("top", c.state["top"])
+
+    return sinks.wide(KEY, **spread(KEY, x=events(spark, d))).drop("cycle")
+
+
+@query("select l_shipdate as ts, count(*) as n, ((count(*) + 6) // 7)::int as batches, least(7, count(*)) as largest, round(sum(l_quantity), 2) as total from lineitem group by l_shipdate")
+def batches_by_ship_date(spark, d):
+    rows = table(spark, d, "lineitem").select("l_shipdate", "l_quantity")
+    s = sinks.to_record_batches(files.record_batches(rows, "l_shipdate"), {"l_quantity": "quantity"}, 7)
+    flat = F.flatten("value")
+    return shown(s, n=F.size(flat).cast("long"), batches=F.size("value"), largest=F.array_max(F.transform("value", F.size)).cast("long"), total=F.round(F.aggregate(flat, F.lit(0.0), lambda x, e: x + e["quantity"]), 2)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("select user_id, ts, max(case when event_type = 'click' then value end) as click, max(case when event_type = 'error' then value end) as error from events where event_type in ('click', 'error') group by all")
+def frame_of_structs(spark, d):
+    from ..frame import Frame
+
+    structs = Frame(**{"web click": events(spark, d, "click"), "web error": events(spark, d, "error")}).collect()
+    return Frame.flatten(structs).wide().select(*KEY, "ts", F.col("web click").alias("click"), F.col("web error").alias("error"))
+
+
+@query(f"select user_id, ts, {near_sql('value * value / (1 + abs(value))', 6)} as value from events")
+def formula_function(spark, d):
+    return shown(f.expression("softened(x) * x", functions={"softened": (("v",), "v / (1 + abs(v))")}, keys=KEY, x=events(spark, d)), value=near(6))

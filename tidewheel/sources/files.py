@@ -176,12 +176,16 @@ def record_batches(df: DataFrame, ts: str = "ts", columns: list[str] | None = No
 def from_json(x: Series, schema: str, epoch: dict[str, str] | None = None) -> Series:
     """Struct values from JSON text; epoch names fields that hold times as
     integers, by unit (ns, us, ms, s)."""
-    v = F.from_json("value", schema)
+    return x.with_value(json_struct(F.col("value"), schema, epoch))
+
+
+def json_struct(text: Column, schema: str, epoch: dict[str, str] | None = None) -> Column:
+    v = F.from_json(text, schema)
     scale = {"ns": 1e-3, "us": 1.0, "ms": 1e3, "s": 1e6}
     for name, unit in (epoch or {}).items():
         t = F.lit("1970-01-01").cast("timestamp_ntz") + F.expr("interval '1' microsecond") * (v[name] * scale[unit]).cast("long")
         v = v.withField(name, t)
-    return x.with_value(v)
+    return v
 
 
 def to_json(x: Series) -> Series:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..series import RunSpec, Series, spark_type
+from ..series import RunSpec, Series, spark_type, spine
 
 
 class PushMode(Enum):
@@ -80,25 +80,50 @@ def poisson_timer(spark: SparkSession, run: RunSpec, rate: float, seed: int, val
     return Series(spark.createDataFrame(rows, f"ts timestamp_ntz, cycle int, value {spark_type(type(value))}"))
 
 
-def brownian_motion(spark: SparkSession, run: RunSpec, trigger: Series, drift: list[float], covariance: list[list[float]], seed: int, return_increments: bool = False) -> Series:
-    """Correlated Brownian motion at the ticks of trigger, from 0 at the start."""
-    root = np.linalg.svd(np.array(covariance, float))
-    factor = root[0] * np.sqrt(root[1])
-    drift_ = np.array(drift, float)
+def brownian_motion(spark: SparkSession, run: RunSpec, trigger: Series, drift: list[float] | Series, covariance: list[list[float]] | Series, seed: int, return_increments: bool = False) -> Series:
+    """Correlated Brownian motion at the ticks of trigger, from 0. Constant
+    drift and covariance (both a second) hold from the run's start; series of
+    arrays hold from one tick to the next, and the motion starts once both
+    have ticked. One walk is sequential, and so is one task."""
+    constant = {n: np.array(v, float) for n, v in (("_d", drift), ("_c", covariance)) if not isinstance(v, Series)}
+    rows = spine((), _t=trigger, **{n: v for n, v in (("_d", drift), ("_c", covariance)) if isinstance(v, Series)})
+    for n in {"_d", "_c"} - set(constant):
+        rows = rows.where(f"{n}_valid")
     start = np.datetime64(run.start, "us")
 
+    def factor(c):
+        root = np.linalg.svd(c)
+        return root[0] * np.sqrt(root[1])
+
     def walk(pdf):
         pdf = pdf.sort_values(["ts", "cycle"])
         t = pdf["ts"].to_numpy().astype("datetime64[us]")
-        dt = np.diff(np.concatenate([[start], t])).astype(np.int64) / 1e6
-        step = drift_ * dt[:, None] + np.random.default_rng(seed).standard_normal((len(t), len(drift_))) * np.sqrt(dt)[:, None] @ factor.T
-        return pdf[["ts", "cycle"]].assign(value=list(step if return_increments else np.cumsum(step, 0)))
-
-    return Series(trigger.df.groupBy(F.lit(0).alias("_all")).applyInPandas(walk, "ts timestamp_ntz, cycle int, value array<double>"))
-
-
-def brownian_motion_1d(spark: SparkSession, run: RunSpec, trigger: Series, drift: float, variance: float, seed: int, return_increments: bool = False) -> Series:
-    return brownian_motion(spark, run, trigger, [drift], [[variance]], seed, return_increments).map(lambda v: v[0])
+        d = np.stack([np.array(x, float) for x in pdf["_d"]]) if "_d" in pdf else np.broadcast_to(constant["_d"], (len(t), *constant["_d"].shape))
+        c = np.stack([np.array([[*r] for r in x], float) for x in pdf["_c"]]) if "_c" in pdf else np.broadcast_to(constant["_c"], (len(t), *constant["_c"].shape))
+        size = d.shape[-1]
+        if d.ndim != 2 or c.shape[1:] != (size, size):
+            raise ValueError("drift is an array of n numbers, covariance one of n times n")
+        dt = np.diff(np.concatenate([[start if len(constant) == 2 else t[0]], t])).astype(np.int64) / 1e6
+        noise = np.random.default_rng(seed).standard_normal((len(t), size)) * np.sqrt(dt)[:, None]
+        held = np.maximum(np.arange(len(t)) - 1, 0)  # what held before a tick moves the walk up to it
+        fresh = np.concatenate([[True], (c[1:] != c[:-1]).any(axis=(1, 2))])
+        factors = [factor(m) for m in c[fresh]]
+        which = np.cumsum(fresh)[held] - 1
+        step = d[held] * dt[:, None]
+        for k, f in enumerate(factors):
+            step[which == k] += noise[which == k] @ f.T
+        on = pdf["_t_ticked"].to_numpy(bool)
+        at = np.cumsum(step, 0)[on]
+        return pdf.loc[on, ["ts", "cycle"]].assign(value=list(np.diff(at, axis=0, prepend=np.zeros((1, size))) if return_increments else at))
+
+    cols = ["ts", "cycle", "_t_ticked", *({"_d", "_c"} - set(constant))]
+    return Series(rows.select(*cols).groupBy(F.lit(0).alias("_all")).applyInPandas(walk, "ts timestamp_ntz, cycle int, value array<double>"))
+
+
+def brownian_motion_1d(spark: SparkSession, run: RunSpec, trigger: Series, drift: float | Series, variance: float | Series, seed: int, return_increments: bool = False) -> Series:
+    d = drift.map(lambda v: F.array(v.cast("double"))) if isinstance(drift, Series) else [drift]
+    c = variance.map(lambda v: F.array(F.array(v.cast("double")))) if isinstance(variance, Series) else [[variance]]
+    return brownian_motion(spark, run, trigger, d, c, seed, return_increments).map(lambda v: v[0])
 
 
 def between(df: DataFrame, run: RunSpec, ts: str = "ts") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,14 +26,49 @@ def wide(keys: tuple[str, ...] = (), **columns: Series) -> DataFrame:
     return rows.select(*keys, "ts", "cycle", *[F.when(F.col(f"{n}_ticked"), F.col(n)).alias(n) for n in columns])
 
 
-def write_parquet(path: str, time: str = "ts", keys: tuple[str, ...] = (), rotate: Column | None = None, mode: str = "overwrite", **columns: Series) -> None:
+def write_parquet(path: str, time: str = "ts", keys: tuple[str, ...] = (), rotate: Column | None = None, mode: str = "overwrite", column_metadata: dict[str, dict] | None = None, file_visitor: Callable[[str], None] | None = None, **columns: Series) -> None:
     """A row for each cycle, as Parquet; rotate: a folder for each value of an
-    expression of the time column, such as its date."""
+    expression of the time column, such as its date. column_metadata goes into
+    the files' schema; file_visitor gets the path of every file written."""
     df = wide(keys, **columns).withColumnRenamed("ts", time).drop("cycle")
+    meta = column_metadata or {}
+    df = df.select(*[F.col(c).alias(c, metadata=meta[c]) if c in meta else c for c in df.columns])
+    before = set(_files(df.sparkSession, path)) if file_visitor and mode == "append" else set()
     if rotate is not None:
         df.withColumn("bucket", rotate).write.partitionBy("bucket").mode(mode).parquet(path)
     else:
         df.write.mode(mode).parquet(path)
+    for file in sorted(set(_files(df.sparkSession, path)) - before) if file_visitor else ():
+        file_visitor(file)
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The Parquet files below a path that Spark's file system knows."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, out = fs.listFiles(root, True) if fs.exists(root) else None, []
+    while found is not None and found.hasNext():
+        out.append(found.next().getPath().toString())
+    return [f for f in out if f.endswith(".parquet")]
+
+
+def to_record_batches(x: Series, field_map: dict[str, str] | None = None, max_batch_size: int = 65536) -> Series:
+    """Lists of structs as lists of batches of at most max_batch_size rows (0:
+    one batch); field_map says which fields, under which names. An empty list
+    has no batch."""
+    v = F.col("value")
+    if field_map is not None:
+        v = F.transform(v, lambda e: F.struct(*[e[f].alias(n) for f, n in field_map.items()]))
+    step = F.lit(max_batch_size) if max_batch_size else F.greatest(F.size(v), F.lit(1))
+    batches = F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), step), lambda at: F.slice(v, at, step))
+    return x.with_value(F.filter(batches, lambda b: F.size(b) > 0))
+
+
+def write_record_batches(path: str, x: Series, max_file_rows: int = 0, mode: str = "overwrite", **options: str) -> None:
+    """The rows of lists of batches, in time order, as Parquet. Tasks write
+    ranges of time; max_file_rows bounds a file."""
+    ordered = x.df.orderBy("ts", "cycle").select(F.explode(F.flatten("value")).alias("_row"))
+    ordered.select("_row.*").write.mode(mode).options(**options).option("maxRecordsPerFile", max_file_rows).parquet(path)
 
 
 def write_split_columns(folder: str, df: DataFrame, order: list[str], columns: list[str], index: str = "row") -> None:

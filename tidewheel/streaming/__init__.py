@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..operators.folds import Context, Step
 from ..shipping import ship
+from ..sources.files import json_struct
 
 
 def read_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -42,6 +45,63 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, replay: str = "lat
     return reader.load().select(F.col("key").cast("string"), "value", F.col("timestamp").cast("timestamp_ntz").alias("ts"), "partition", "offset", "topic")
 
 
+def decode_messages(
+    df: DataFrame, schema: str | None = None, field_map: str | dict[str, str] | None = None, meta_field_map: dict[str, str] | None = None, key: str | None = None, epoch: dict[str, str] | None = None,
+    time_field: str | None = None, start: Any = None, include_before_start: bool = True, live_from: Any = None, adjust_out_of_order_time: bool = False,
+) -> DataFrame:
+    """(key, ts, cycle, value) from rows of read_kafka(), batch or stream.
+
+    Messages are JSON objects of the given schema, or without one text.
+    field_map says which fields of a message, under which names, make the
+    value's struct; a string names the one field that is the value.
+    meta_field_map adds partition, offset, timestamp, key or live (not before
+    live_from) to the struct. key picks the messages of one key. time_field
+    names the field of the struct that holds a tick's time, in place of the
+    message's. Ticks before start count as at the start, or not at all. Ticks
+    older than one before them in their partition are moved to its time if
+    adjust_out_of_order_time; that is for batches, as fold() does it in
+    streams. Messages that are no JSON have null fields."""
+    meta = meta_field_map or {}
+    if unknown := set(meta) - {"partition", "offset", "timestamp", "key", "live"}:
+        raise ValueError(f"no metadata of messages: {sorted(unknown)}")
+    if time_field is not None and meta.get("timestamp") == time_field:
+        raise ValueError("a field holds either the tick's time or the message's")
+    if meta and (schema is None or isinstance(field_map, str)):
+        raise ValueError("metadata needs values that are structs")
+    rows = df if key is None else df.where(F.col("key") == key)
+    text = F.col("value").cast("string")
+    message = text if schema is None else json_struct(text, schema, epoch)
+    if isinstance(field_map, str):
+        value = message[field_map]
+    elif schema is not None:
+        names = field_map or {n: n for n in StructType.fromDDL(schema).fieldNames()}
+        live = F.lit(live_from is None) if live_from is None else F.col("ts") >= F.lit(live_from).cast("timestamp_ntz")
+        source = {"timestamp": F.col("ts"), "live": live} | {n: F.col(n) for n in ("partition", "offset", "key")}
+        value = F.struct(*[message[f].alias(n) for f, n in names.items()], *[source[f].alias(n) for f, n in meta.items()])
+    else:
+        value = message
+    rows = rows.withColumn("_value", value)
+    if time_field is not None:
+        rows = rows.withColumn("ts", F.col("_value")[time_field].cast("timestamp_ntz"))
+    if adjust_out_of_order_time:
+        if df.isStreaming:
+            raise ValueError("fold() moves the late ticks of a stream")
+        rows = rows.withColumn("ts", F.max("ts").over(Window.partitionBy("topic", "partition").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)))
+    if start is not None:
+        rows = clamp(rows, start) if include_before_start else rows.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    return rows.select("key", "ts", F.lit(0).alias("cycle"), F.col("_value").alias("value"))
+
+
+def encode_messages(value: Column, field_map: str | dict[str, str] | None = None) -> Column:
+    """A message's bytes: a struct as a JSON object, with its fields under the
+    names of field_map; with a string, an object of the value under that name."""
+    if isinstance(field_map, str):
+        value = F.struct(value.alias(field_map))
+    elif field_map is not None:
+        value = F.struct(*[value[f].alias(n) for f, n in field_map.items()])
+    return F.to_json(value).cast("binary")
+
+
 def write_kafka(df: DataFrame, servers: str, topic: str, key: Column, value: Column, checkpoint: str) -> StreamingQuery:
     out = df.select(key.cast("string").alias("key"), value.alias("value"))
     return out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
