@@ -130,6 +130,44 @@ def test_likeness_is_pruned_by_length(spark):
     assert [(r["p"], r["e"]) for r in got] == [(0.8, 0.8), (0.0, 0.2), (1.0, 1.0)]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_similar_sets_by_brute_force(spark, texts, threshold):
+    """All pairs of classes at or above the threshold, over the documents, cut
+    and edited copies of them, sets at the very threshold, and copies."""
+    rng = np.random.default_rng(11)
+    long = [t for t in texts.values() if t and len(t) > 400]
+    rows = list(texts.items())
+    for k, t in enumerate(long[:60]):
+        words = t.split(" ")
+        for j in rng.choice(len(words), max(1, len(words) // (10 + k)), replace=False):
+            words[j] = "changed"
+        rows += [(10_000 + 3 * k, " ".join(words)), (10_001 + 3 * k, t[: len(t) * 9 // 10]), (10_002 + 3 * k, t)]
+    rows += [(20_000 + k, "the and of " * k) for k in range(1, 40)] + [(5, "again"), (5, "again"), (None, "again"), (30_000, None), (30_001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("sigs", "of", "id", "a", "b", "n", "part", "sig")}).repartition(5)
+    members, pairs = spotsigs.similar(docs, threshold)
+    sigs = defaultdict(list)
+    for r in docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect():
+        if r["doc_id"] is not None:
+            sigs[frozenset(r["s"])].append(r["doc_id"])
+    want_members = sorted((i, min(ids)) for ids in sigs.values() for i in ids)
+    assert sorted((r["doc_id"], r["class_id"]) for r in members.collect()) == want_members
+    want = {}
+    for (x, i), (y, j) in itertools.combinations([(x, min(ids)) for x, ids in sigs.items() if x], 2):
+        if (v := len(x & y) / len(x | y)) >= threshold:
+            want[min(i, j), max(i, j)] = v
+    got = pairs.collect()
+    assert {(r["a"], r["b"]): r["likeness"] for r in got} == want and len(got) == len(want) > 60
+    assert spotsigs.similar(docs, 1.0)[1].count() == 0 and spotsigs.similar(docs.limit(0), threshold)[1].count() == 0
+    with pytest.raises(ValueError):
+        spotsigs.similar(docs, 0.0)
+
+
+def test_length_partitions_at_exact_ratios(spark):
+    df = spark.createDataFrame([(k, list(range(2**k))) for k in range(14)], "k int, s array<long>")
+    got = dict(df.select("k", spotsigs.partition(F.col("s"), 0.5)).collect())
+    assert got == {k: k for k in range(14)}
+
+
 def test_next_over_sparse_and_negative_ids(spark):
     ids = [5, -3, 1 << 40, 7, 64, 65, 10**15]
     got = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")).collect()}

@@ -37,6 +37,8 @@ ANCHORS = tuple(
     los las una del que por con para como más pero sus entre sobre este esta también cuando todo desde muy sin hay ser son fue han
     """.split()
 )
+#: More than the error of a product or logarithm, less than any step of theirs.
+ROUNDING = 1e-9
 #: Rows of this many neighbouring ids, at most, are put in order together.
 BUCKET_BITS = 5
 
@@ -101,7 +103,8 @@ def fingerprint(sigs: Column) -> Column:
 
 def partition(sigs: Column, threshold: float) -> Column:
     """Length partition: similar sets lie in the same or neighbouring ones."""
-    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1)).cast("double")) / -math.log(threshold))
+    # What is added keeps exact powers, which sizes can be, on their side of the bound.
+    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1)).cast("double")) / -math.log(threshold) + ROUNDING)
 
 
 def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
@@ -111,7 +114,7 @@ def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
     exact = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(_let(both, lambda n: n / (F.size(a) + F.size(b) - n)))
     if threshold <= 0:
         return exact
-    far = (F.abs(partition(a, threshold) - partition(b, threshold)) > 1) | (F.least(F.size(a), F.size(b)) < threshold * F.greatest(F.size(a), F.size(b)))
+    far = (F.abs(partition(a, threshold) - partition(b, threshold)) > 1) | (F.least(F.size(a), F.size(b)) < threshold * F.greatest(F.size(a), F.size(b)) - ROUNDING)
     return F.when(far, 0.0).otherwise(exact)
 
 
@@ -147,6 +150,54 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     return rows.select("doc_id", F.size("sigs").alias("n_sigs"), fingerprint(F.col("sigs")).alias("fingerprint"))
 
 
+def similar(docs: DataFrame, threshold: float = 0.8, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members(doc_id, class_id) puts every row with an id
+    into the class of texts that have the same signatures, named after its
+    least id; pairs(a, b, likeness) are all pairs of classes, a < b, whose sets
+    are alike to threshold or more, which is above 0 and at most 1.
+
+    Sets meet by their rarest signatures: of two sets of Jaccard similarity t,
+    ordered alike, the first |s| - ceil(t |s|) + 1 signatures of each share
+    one. They meet within a length partition or between neighbouring ones, and
+    a pair goes on to the comparison of sets only if its lengths and what
+    follows the shared signatures leave room for t. Rows meet by joins, which
+    are split where a signature is frequent, and no group is ever gathered;
+    copies are folded before. Null texts count as empty ones, which are a
+    class of their own without pairs; long texts are used whole; repeated rows
+    are members of one class, a row each. An empty table gives no rows."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is above 0 and at most 1")
+    rows = docs.select(F.col(id_col).alias("doc_id"), signatures(F.col(text)).alias("sigs")).where("doc_id is not null")
+    rows = checkpoint(rows.withColumn("of", F.sha2(fingerprint(F.col("sigs")), 256)))
+    classes = rows.groupBy("of").agg(F.min("doc_id").alias("class_id"))
+    members = rows.select("doc_id", "of").join(classes, "of").select("doc_id", "class_id")
+    # A row of each class, by its digest and least id; equal rows are one.
+    sets = rows.join(classes.select("of", F.col("class_id").alias("doc_id")), ["of", "doc_id"], "left_semi").dropDuplicates(["of", "doc_id"])
+    sets = checkpoint(sets.where(F.size("sigs") > 0).select(F.col("doc_id").alias("id"), "sigs"))
+    if threshold == 1:
+        return members, sets.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness")).where(F.lit(False))
+
+    each = sets.select("id", F.size("sigs").alias("n"), partition(F.col("sigs"), threshold).alias("part"), F.explode("sigs").alias("sig"))
+    known = each.groupBy("sig").agg(F.count("*").alias("times"))
+    order = F.array_sort(F.collect_list(F.struct("times", "sig")))
+    n = F.col("n")
+    first = F.slice(F.col("rarest"), 1, (n - F.ceil(n * threshold - ROUNDING) + 1).cast("int"))
+    ranked = each.join(known, "sig").groupBy("id", "n", "part").agg(order.alias("rarest"))
+    probes = checkpoint(ranked.select("id", "n", "part", F.posexplode(F.transform(first, lambda s: s["sig"])).alias("at", "sig")))
+
+    left = probes.select("sig", "part", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    met = F.explode(F.array(F.col("part"), F.col("part") - 1))
+    right = probes.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("part").alias("own"), met.alias("part"))
+    once = (F.col("own") > F.col("part")) | (F.col("a") < F.col("b"))
+    # The first signature that two sets share leaves room for all the others; a later one has less room, but then the first was met too.
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - ROUNDING) & (room >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - ROUNDING)
+    found = left.join(right, ["sig", "part"]).where(once & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda k: sets.select(F.col("id").alias(k), F.col("sigs").alias(f"sigs_{k}"))
+    compared = found.join(of("a"), "a").join(of("b"), "b").select("a", "b", likeness(F.col("sigs_a"), F.col("sigs_b"), threshold).alias("likeness"))
+    return members, compared.where(F.col("likeness") >= threshold)
+
+
 def edited_likeness(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each row of docs: its fingerprint, and that of its edited
     text, whose last third is replaced by the beginning of the next document;
