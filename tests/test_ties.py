@@ -151,3 +151,41 @@ def test_bad_keys_raise_if_asked_to(spark):
     with pytest.raises(Exception, match="no such key: b"):
         a.demultiplex(x, key, keys=["a"], raise_on_bad_key=True).df.collect()
     assert ordered(a.binop(x, key, lambda v, k: v * 10)) == [10.0, 10.0, 20.0]
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_time_windows_at_triggers_equal_brute_force(spark, keys):
+    rng = random.Random(len(keys))
+    ticks = [(rng.choice([None, "a", "b"]), START + rng.randrange(80) * US, rng.randrange(2), rng.choice([None, float("nan"), *map(float, range(-4, 5))])) for _ in range(300)]
+    asks = [("c", START, 0), *((rng.choice([None, "a", "b"]), START + rng.randrange(-5, 120) * US, rng.randrange(2)) for _ in range(60))]
+    named = lambda *cols: ", ".join((*(f"{k} string" for k in keys), *cols))
+    of = lambda r: r if keys else r[1:]
+    x = Series(spark.createDataFrame([of(r) for r in ticks], named("ts timestamp_ntz", "cycle int", "value double")), keys)
+    trigger = Series(spark.createDataFrame([of((*r, True)) for r in [*asks, *asks[:9]]], named("ts timestamp_ntz", "cycle int", "value boolean")), keys)
+    stats_of = {"count": len, "sum": sum, "mean": lambda v: sum(v) / len(v) if v else None, "min": lambda v: min(v, default=None), "max_": lambda v: max(v, default=None)}
+    for ago in (1, 7, 200):
+        for more in ({}, {"ignore_na": False, "min_data_points": 2}):
+            want = {}
+            for k, t, c in set(asks):
+                mine = [r for r in ticks if not keys or r[0] == k]
+                if any((r[1], r[2]) <= (t, c) for r in mine):
+                    held = [r[3] for r in mine if t - ago * US < r[1] and (r[1], r[2]) <= (t, c)]
+                    good = [v for v in held if v is not None and v == v]
+                    bad = bool(more) and (len(good) < 2 or len(good) < len(held))
+                    want[of((k, t, c))] = {n: None if bad else f(good) for n, f in stats_of.items()}
+            for n in stats_of:
+                got = getattr(stats, n)(x, Rules(ago * US, 0 * US, trigger=trigger, run=RunSpec(START, 80 * US), **more)).df.collect()
+                assert len(got) == len(want)
+                assert {tuple(r[:-1]): None if r[-1] != r[-1] else pytest.approx(r[-1]) for r in got} == {k: v[n] for k, v in want.items()}, (n, ago, more)
+
+
+def test_purchases_of_one_time_all_count_at_timers(spark, tmp_path):
+    import duckdb
+
+    from tidewheel.plans import queries as q
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.crossJoin(spark.range(3).withColumnRenamed("id", "copy")).selectExpr("event_id + 1000000 * copy as event_id", "ts", "user_id + 1000000 * copy as user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, q.timer_trigger_sum(spark, str(tmp_path)).collect())) == sorted(con.sql(q.ORACLES["timer_trigger_sum"]).fetchall())

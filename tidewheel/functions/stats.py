@@ -11,6 +11,10 @@ A window is a frame over a spine of all ticks of a key: one shuffle by key,
 one sort, and built-in aggregates. Ticks at one timestamp are kept apart, since
 frames in time range over a position that holds both time and cycle: a window
 of length d at (t, cycle) holds all cycles after t - d up to this one.
+
+Counts, sums, means and extremes over a time at triggers alone are put
+together from two parts of stretches of that time (Panes): their work doesn't
+grow with the samples in a window, and no task holds all ticks of a key.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..series import RunSpec, Series, bound, position, spine
+from ..series import RunSpec, Series, bound, micros, position, spine
 
 NAN = float("nan")
 
@@ -109,6 +113,16 @@ class Frame:
     def over(self, c: Column) -> Column:
         return c.over(self.window)
 
+    def fold(self, fn: Callable[[Column], Column], c: Column) -> Column:
+        """An aggregate of c over the window that is its own merge; null for none."""
+        return self.over(fn(c))
+
+    def count(self, c: Column) -> Column:
+        return self.over(F.count(c))
+
+    def avg(self, c: Column) -> Column:
+        return self.over(F.avg(c))
+
     def result(self, value: Column, need: int = 0, poison: bool = True) -> Series:
         """The series of value at triggers, with the NaN and min_window rules."""
         r, ok = self.rules, F.col(f"{self.names[0]}_ok")
@@ -128,13 +142,76 @@ class Frame:
         return Series(rows.where(started).select(*self.keys, "ts", "cycle", F.col("_value").alias("value")), self.keys)
 
 
+class Panes:
+    """The windows of an interval of time d at triggers, without a spine. Time
+    is cut into stretches of d: a window (t - d, t] is the end of one and the
+    start of the next, so that running aggregates over each stretch, from both
+    sides, hold all that triggers ask for. Ticks that share a time and a cycle
+    count each; triggers that do are one."""
+
+    def __init__(self, rules: Rules, keys: tuple[str, ...], x: Series) -> None:
+        self.rules, self.keys, self.x, self.parts = rules, keys, x, {}
+
+    def fold(self, fn: Callable[[Column], Column], c: Column) -> Column:
+        name = f"_p{len(self.parts)}"
+        self.parts[name] = (fn, c)
+        return F.col(name)
+
+    def count(self, c: Column) -> Column:
+        return F.coalesce(self.fold(F.sum, c.isNotNull().cast("int")), F.lit(0))
+
+    def avg(self, c: Column) -> Column:
+        return self.fold(F.sum, c) / F.nullif(self.count(c), F.lit(0))
+
+    def result(self, value: Column, need: int = 0, poison: bool = True) -> Series:
+        r, keys = self.rules, self.keys
+        need = max(need, r.min_data_points)
+        if need:
+            value = F.when(self.count(F.col("x_ok")) < need, F.lit(NAN)).otherwise(value)
+        if poison and not r.ignore_na:
+            value = F.when(self.fold(F.max, F.col("x_ok").isNull().cast("int")) > 0, F.lit(NAN)).otherwise(value)
+        length = r.interval // timedelta(microseconds=1)
+        x = F.col("value").cast("double")
+        samples = self.x.df.select(*keys, micros("ts").alias("_us"), "cycle", F.lit(0).alias("_end"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.when(~F.isnan(x), x).alias("x_ok"))
+        samples = samples.select(*keys, "_us", "cycle", "_end", "ts", *[c.alias(n) for n, (_, c) in self.parts.items()])
+        types = dict(samples.dtypes)
+        # Twice each trigger: at the end of its window, and where that starts; no sample of that time is in it.
+        asked = r.trigger.df.select(*keys, "ts", "cycle").distinct()
+        ends = asked.select(*keys, F.explode(F.array(F.lit(1), F.lit(-1))).alias("_end"), "ts", "cycle")
+        at = F.when(F.col("_end") == 1, micros("ts")).otherwise(micros("ts") - length)
+        ends = ends.select(*keys, at.alias("_us"), "cycle", "_end", "ts", *[F.lit(None).cast(types[n]).alias(n) for n in self.parts])
+        rows = samples.unionByName(ends).withColumn("_stretch", F.col("_us") - F.pmod("_us", F.lit(length)))
+        within = Window.partitionBy(*keys, "_stretch")
+        upto = within.orderBy("_us", F.when(F.col("_end") >= 0, F.col("cycle")), "_end").rowsBetween(Window.unboundedPreceding, 0)
+        since = within.orderBy(F.desc("_us"), "_end").rowsBetween(Window.unboundedPreceding, 0)
+        part = [F.when(F.col("_end") == 1, fn(n).over(upto)).otherwise(fn(n).over(since)).alias(n) for n, (fn, _) in self.parts.items()]
+        held = rows.select(*keys, "ts", "cycle", "_end", *part).where("_end != 0").groupBy(*keys, "ts", "cycle").agg(*[fn(n).alias(n) for n, (fn, _) in self.parts.items()])
+        # Nothing is said before the first sample.
+        first = self.x.df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.struct("ts", "cycle")).alias("_first"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        held = held.join(first, same) if keys else held.crossJoin(first)
+        started = F.struct("ts", "cycle") >= F.col("_first")
+        if isinstance(r.least, timedelta) and r.least > timedelta(0):
+            started = started & (F.col("ts") >= F.lit(r.run.start + r.least).cast("timestamp_ntz"))
+        return Series(held.where(started).select(*keys, "ts", "cycle", value.alias("value")), keys)
+
+
+def _frame(r: Rules, weights: Series | None, x: Series) -> Frame | Panes:
+    """Panes where the rules allow for them."""
+    if isinstance(r.interval, timedelta) and r.trigger is not None and r.sampler is None and r.reset is None and weights is None:
+        return Panes(r, x.keys, x)
+    return Frame(r, x.keys, weights, x=x)
+
+
 def _nan(c: Column) -> Column:
     return F.coalesce(c, F.lit(NAN))
 
 
 def count(x: Series, r: Rules) -> Series:
-    f = Frame(r, x.keys, x=x)
-    return f.result(f.over(F.count("x_ok")).cast("double"))
+    f = _frame(r, None, x)
+    return f.result(f.count(F.col("x_ok")).cast("double"))
 
 
 def unique(x: Series, r: Rules, precision: int = 10) -> Series:
@@ -159,8 +236,8 @@ def last(x: Series, r: Rules) -> Series:
 
 def sum(x: Series, r: Rules, weights: Series | None = None) -> Series:  # noqa: A001
     """Sum, 0 for an empty window; with weights, of products."""
-    f = Frame(r, x.keys, weights, x=x)
-    return f.result(F.coalesce(f.over(F.sum(_times(weights, "x_ok"))), F.lit(0.0)))
+    f = _frame(r, weights, x)
+    return f.result(F.coalesce(f.fold(F.sum, _times(weights, "x_ok")), F.lit(0.0)))
 
 
 def _times(weights: Series | None, name: str) -> Column:
@@ -168,9 +245,9 @@ def _times(weights: Series | None, name: str) -> Column:
 
 
 def mean(x: Series, r: Rules, weights: Series | None = None) -> Series:
-    f = Frame(r, x.keys, weights, x=x)
+    f = _frame(r, weights, x)
     if weights is None:
-        return f.result(_nan(f.over(F.avg("x_ok"))))
+        return f.result(_nan(f.avg(F.col("x_ok"))))
     w = f.over(F.sum(F.when(F.col("x_ok").isNotNull(), F.col("_w"))))
     return f.result(F.when(w > 1e-9, f.over(F.sum(F.col("x_ok") * F.col("_w"))) / F.nullif(w, F.lit(0.0))).otherwise(F.lit(NAN)))
 
@@ -188,13 +265,13 @@ def gmean(x: Series, r: Rules) -> Series:
 
 
 def min(x: Series, r: Rules) -> Series:  # noqa: A001
-    f = Frame(r, x.keys, x=x)
-    return f.result(_nan(f.over(F.min("x_ok"))))
+    f = _frame(r, None, x)
+    return f.result(_nan(f.fold(F.min, F.col("x_ok"))))
 
 
 def max_(x: Series, r: Rules) -> Series:
-    f = Frame(r, x.keys, x=x)
-    return f.result(_nan(f.over(F.max("x_ok"))))
+    f = _frame(r, None, x)
+    return f.result(_nan(f.fold(F.max, F.col("x_ok"))))
 
 
 def min_max(x: Series, r: Rules) -> tuple[Series, Series]:
