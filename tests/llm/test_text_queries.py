@@ -701,6 +701,62 @@ def test_classes_of_many_are_connected(spark):
     assert sorted((r["doc_id"], r["other_id"], r["n_words"]) for r in got if r["other_id"] == 200) == [(200 + i, 200, 70) for i in range(1, 30)]
 
 
+def roots(nodes, links):
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        root[find(x)] = find(y)
+    return {i: find(i) for i in root}
+
+
+def test_frequent_passages_without_long_equal_words(spark):
+    """Seeds that 40 texts hold, nowhere 39 equal words: two variants of a
+    passage, and one passage of which each text replaces three words."""
+    rng = np.random.default_rng(16)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    one, many, short = word(60), word(64), word(20)
+    other = [*one[:20], "x", *one[21:40], "y", *one[41:]]
+    rows = [(i, " ".join(word(30) + (one if i % 2 else other) + word(30))) for i in range(40)]
+    for i in range(40):
+        x = list(many)
+        for p in (i % 8 + 12, i % 5 + 28, i % 7 + 44):
+            x[p] = word(1)[0]
+        rows.append((100 + i, " ".join(word(30) + x + word(30))))
+    rows += [(200 + i, " ".join(word(60) + short + word(60))) for i in range(40)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    root = roots([i for i, _ in rows], [(r["doc_id"], r["other_id"]) for r in got])
+    assert len({root[i] for i in range(40)}) == 1 and len({root[100 + i] for i in range(40)}) == 1 and len(set(root.values())) == 42
+    assert all(r["similarity"] >= chaining.SIMILARITY and r["n_words"] >= chaining.LONG for r in got)
+
+
+def test_kin_by_comparison_of_all_pairs():
+    rng = np.random.default_rng(17)
+    word = lambda n: rng.integers(0, 1 << 24, n)
+    some = 0
+    for every in (9, 12, 16, 24):
+        base, held, at = word(90), [], []
+        for i in range(60):
+            x = np.where((rng.random(90) < 1 / every) & (np.arange(90) // 5 != 9), word(90), base)
+            low, high = (int(v) for v in ((rng.integers(0, 45), rng.integers(50, 91)) if i % 3 else (0, 90)))
+            more = int(rng.integers(0, 30))
+            held.append(np.concatenate([word(more), x[low:high], word(30)]))
+            at.append(more + 45 - low)
+        text = np.arange(60) // 2
+        long = np.where(np.arange(60) < 20, 5, -1)
+        want = [(i, j) for i, j in itertools.combinations(range(60), 2) if text[i] != text[j] and chaining.stretches(*chaining.align(held[i], held[j], np.array([(at[i], at[j])])), chaining.MIN_WORDS)]
+        got = chaining.kin(held, np.array(at), text, long)
+        same = [(0, i) for i in range(1, 20)]  # a star
+        a, b = roots(range(60), want + same), roots(range(60), [(i, j) for i, j, *_ in got] + same)
+        assert all(b[i] == b[j] for i, j in want) and all((held[i][p : p + 5] == held[j][q : q + 5]).all() for i, j, p, q in got)
+        some += len(set(a.values())) > 1
+    assert some > 1
+
+
 def test_alignment_by_brute_force():
     """Steps between two seeds have the fewest edits, and stretches are the
     best ones there are."""
