@@ -757,6 +757,55 @@ def test_kin_by_comparison_of_all_pairs():
     assert some > 1
 
 
+def test_kin_of_seeds_together():
+    """Seeds that are compared at one time have the matches that each has
+    alone, in the same order, also where their words are the same; of one
+    seed all are equal."""
+    rng = np.random.default_rng(18)
+    word = lambda n: rng.integers(0, 1 << 24, n)
+    base, groups = word(90), []
+    for g in range(12):
+        held, at = [], []
+        for i in range(1 if g == 5 else 24):
+            x = np.where((rng.random(90) < (g != 7) / (9 + 3 * (g % 4))) & (np.arange(90) // 5 != 9), word(90), base)
+            low, high = (int(v) for v in ((rng.integers(0, 45), rng.integers(50, 91)) if i % 3 and g != 7 else (0, 90)))
+            held.append(np.concatenate([word(5), x[low:high], word(9)]))
+            at.append(50 - low)
+        groups.append((held, np.array(at), np.arange(len(held)) // 2 + 12 * (g // 2), np.where(np.arange(len(held)) < 18, 5, -1)))
+    want, before = [], 0
+    for g in groups:
+        want.append([(i + before, j + before, p, q) for i, j, p, q in chaining.kin(*g)])
+        before += len(g[0])
+    seed = np.repeat(np.arange(12), [len(g[0]) for g in groups])
+    got = chaining.kin(sum((g[0] for g in groups), []), *(np.concatenate([g[c] for g in groups]) for c in (1, 2, 3)), seed=seed)
+    assert [[r for r in got if seed[r[0]] == g] for g in range(12)] == want and sum(map(bool, want)) > 6 and not want[5] and not want[7]
+
+
+def test_extension_by_definition():
+    def plain(a, b):
+        out, i, j = [], 0, 0
+        while True:
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            assert chaining._equal(a, b, i, j) == n
+            out += [(n, n, n)] * (n > 0)
+            i, j = i + n, j + n
+            ways = [(x, y) for x in range(4) for y in range(4) if x + y and i + x + 4 <= len(a) and j + y + 4 <= len(b) and a[i + x : i + x + 4] == b[j + y : j + y + 4]]
+            if not ways:
+                return out
+            x, y = min(ways, key=lambda w: (max(w), -min(w), -w[0]))
+            out += [(0, 1, 1)] * min(x, y) + [(0, 1, 0)] * (x - min(x, y)) + [(0, 0, 1)] * (y - min(x, y))
+            i, j = i + x, j + y
+
+    rng = np.random.default_rng(19)
+    for _ in range(2000):
+        a = rng.integers(0, int(rng.integers(2, 40)), int(rng.integers(0, 60))).tolist()
+        b = [w for w in a if rng.random() > 0.1] if rng.random() < 0.8 else a[:7] + a
+        b = [-1 if rng.random() < 0.05 else w for w in b]
+        assert chaining.extend(a, b) == plain(a, b)
+
+
 def test_alignment_by_brute_force():
     """Steps between two seeds have the fewest edits, and stretches are the
     best ones there are."""
