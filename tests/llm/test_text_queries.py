@@ -806,6 +806,17 @@ def test_extension_by_definition():
         assert chaining.extend(a, b) == plain(a, b)
 
 
+def test_parts_do_not_hang_on_the_order_of_matches(spark):
+    """Matches that are there as several kinds: the weakest one goes into the
+    chain and the stronger ones are parts too, whichever came first."""
+    seen = []
+    for kinds in ((0, 2, 1), (2, 1, 0), (1, 0, 2)):
+        rows = [(2, 1, p, p + 7, kind) for kind in kinds for p in (100, 110, 120) if kind == 0 or p == 110]
+        found = spark.createDataFrame(rows, "a long, b long, pa int, pb int, kind byte").coalesce(1)
+        seen.append([(len(p["at"]), p["star"]) for r in chaining.parts_of_pairs(found).collect() for p in r["parts"]])
+    assert seen[0] == seen[1] == seen[2] == [(24, False), (8, False), (8, True)]
+
+
 def test_alignment_by_brute_force():
     """Steps between two seeds have the fewest edits, and stretches are the
     best ones there are."""
