@@ -7,12 +7,14 @@ import itertools
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from array import array
 from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -222,6 +224,42 @@ def test_sentencepieces_query(spark, texts, codec):
         assert r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) and codec.decode(array("i", r["token_ids"])) == texts[r["doc_id"]]
 
 
+def test_remembered_chunks_are_bounded_by_bytes(monkeypatch):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    monkeypatch.setattr(sentencepieces, "REMEMBERED", 1 << 16)
+    c = sentencepieces.Codec(sentencepieces.Vocabulary.load())
+    far = ["".join(chr(0xA000 + (k * 7919 + j * 31) % 1000) for j in range(60)) for k in range(1500)]  # each character three bytes
+    words = [" ".join(f"w{k}x{j}" for j in range(40)) + " again and again" for k in range(200)]
+    c.encode(far[0])
+    tracemalloc.start()
+    try:
+        for t in far:
+            c.packed(t)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 400_000  # 1500 chunks of over 500 bytes
+    for t in [*far[:20], *words, *words[::-1], "".join(words), " ".join(far[:300])]:
+        assert c.encode(t) == lib.encode(t)
+    for t in (" two  \n\n a\u2581b \u2581", "\u2581", "\u2581 \u2581 a"):
+        assert c.decode(c.encode(t)) == t
+
+
+def test_long_texts_are_encoded_a_few_at_a_time(spark, codec):
+    texts = ["a b" * 10, None, "x" * 900, "", "long text " * 50, "漢" * 400, "end", None]
+    b = pa.record_batch({"doc_id": pa.array(range(8)), "text": texts})
+    runs = list(common.slices(b, "text", 1000))
+    assert [r.column(0).to_pylist() for r in runs] == [[0, 1, 2, 3], [4], [5], [6, 7]] and pa.Table.from_batches(runs).to_pylist() == b.to_pylist()
+    assert [r.num_rows for r in common.slices(b.slice(0, 0), "text", 1000)] == [0]
+
+    df = spark.createDataFrame([(k, (t or "") * 300 if t is not None else None) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in sentencepieces.encode_texts(df).collect()}
+    for k, t in enumerate(texts):
+        assert got[k]["round_trip"] and got[k]["token_ids"] == codec.encode((t or "") * 300)
+
+
 def test_ids_are_decoded(spark, texts):
     encoded = queries.op2_sentencepieces(spark, DATA).withColumns({"ids": F.lit(1), "text": F.lit("clash")})
     assert {r["doc_id"]: r["text"] for r in sentencepieces.decode_ids(encoded).collect()} == texts

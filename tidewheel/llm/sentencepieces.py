@@ -11,7 +11,8 @@ the one path of which this holds at every step, so the same pass over the same
 automaton yields exactly the ids of the merge procedure in linear time.
 
 Chunks (a word with the spaces before it, or a line feed) are encoded once a
-worker and remembered, in a bounded table; pieces never span two chunks.
+worker and remembered, in two tables of bounded bytes, the older of which goes
+when the newer is full; pieces never span two chunks.
 Characters outside the vocabulary become byte pieces. A literal U+2581, which
 the format would turn into a space, is also written as bytes, so that decoding
 gives back every text exactly.
@@ -23,6 +24,7 @@ import re
 from array import array
 from collections.abc import Iterable
 from pathlib import Path
+from sys import getsizeof
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +34,23 @@ from .common import map_batches
 #: Public vocabulary file; the path is a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Bytes of each of the two tables of chunks that a worker remembers, as estimated by _new.
+REMEMBERED = 20 << 20
+#: Pairs of pieces that a worker remembers before it starts anew.
+PAIRS = 500_000
+#: Bytes of texts that a worker encodes at a time, a longer one alone.
+SLICE = 1 << 20
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _BYTE = 1, 6
 
 #: Inside a character class: letters, without superscript and fraction digits.
 _LETTER = r"^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u2070-\u209f"
 #: Ways to cut a text where no piece may reach over, finest first; the first in which every piece is one chunk is taken.
+#: Chunks keep the plain space, as strings of one byte a character take half the memory.
 _CHUNKS = (
-    rf"{SPACE}*[{_LETTER}]+|{SPACE}*(?:(?![{_LETTER}])[^{SPACE}\n])+|{SPACE}+|\n",
-    rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n",
-    rf"{SPACE}*[^{SPACE}]+|{SPACE}+",
+    rf" *[{_LETTER}]+| *(?:(?![{_LETTER}])[^ \n])+| +|\n",
+    r" *[^ \n]+| +|\n",
+    r" *[^ ]+| +",
     r"(?s:.+)",
 )
 
@@ -91,13 +98,16 @@ class Codec:
                 raw = piece.replace(SPACE, " ").encode()
             self.raw.append(raw)
         self.unknown = min(self.scores.values(), default=0.0) - 10
+        self.code = "H" if len(self.text) <= 1 << 16 else "i"  # of packed ids
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if not self.bpe or self.merged(piece) == [i]:  # a piece that merging never gives is left out
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.chunk = next(c for c in map(re.compile, _CHUNKS) if all(map(c.fullmatch, self.ids)))
+        self.chunk = next(c for c in map(re.compile, _CHUNKS) if all(c.fullmatch(p.replace(SPACE, " ")) for p in self.ids))
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.follows: dict[int, bool] = {}
         self._path = self._merge_path if self.bpe else self._best_path
 
@@ -118,7 +128,7 @@ class Codec:
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether merging the joint text of two pieces gives the two."""
-        if len(self.follows) >= REMEMBERED:
+        if len(self.follows) >= PAIRS:
             self.follows.clear()
         known = self.follows[a << 32 | b] = self.merged(self.text[a] + self.text[b]) == [a, b]
         return known
@@ -169,29 +179,34 @@ class Codec:
 
     def packed(self, text: str) -> bytes:
         """Ids of a text, as the model's own library gives them (but for a
-        literal U+2581), as 32-bit integers; none for an empty text."""
+        literal U+2581), as integers of type code; none for an empty text."""
         if not text:
             return b""
         first, *rest = text.split(SPACE)
-        out = self._chunks(SPACE + first.replace(" ", SPACE))
+        out = self._chunks(" " + first)
         for part in rest:
-            out.append(array("i", [self.bytes[c] for c in SPACE.encode()]).tobytes())
-            out += self._chunks(part.replace(" ", SPACE))
+            out.append(array(self.code, [self.bytes[c] for c in SPACE.encode()]).tobytes())
+            out += self._chunks(part)
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return array("i", self.packed(text)).tolist()
+        return array(self.code, self.packed(text)).tolist()
 
     def _chunks(self, text: str) -> list[bytes]:
         get, new = self.memory.get, self._new
         return [get(c) or new(c) for c in self.chunk.findall(text)]
 
     def _new(self, chunk: str) -> bytes:
-        ids = array("i", self._path(chunk)).tobytes()
+        """Ids of a chunk that was not in the newer table when its text was begun."""
+        if known := self.memory.get(chunk):
+            return known
+        ids = self.older.get(chunk) or array(self.code, self._path(chunk.replace(" ", SPACE))).tobytes()
         if len(chunk) <= 64:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
+            need = getsizeof(chunk) + getsizeof(ids) + 64  # and about 64 in the table
+            if self.held + need > REMEMBERED:
+                self.memory, self.older, self.held = {}, self.memory, 0
             self.memory[chunk] = ids
+            self.held += need
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -228,16 +243,16 @@ def encode_texts(docs: DataFrame, model: str = MODEL, text: str = "text", id_col
     def run(b: dict[str, list]) -> dict[str, list]:
         codec = _codec(model, vocabulary)
         packed = [codec.packed(x or "") for x in b["text"]]
-        decoded = [codec.decode(array("i", p)) for p in packed]
-        ids = np.frombuffer(b"".join(packed), np.int32)
-        ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
+        decoded = [codec.decode(array(codec.code, p)) for p in packed]
+        ids = np.frombuffer(b"".join(packed), codec.code).astype(np.int32)
+        ends = np.cumsum([0] + [len(p) // array(codec.code).itemsize for p in packed], dtype=np.int32)
         return {
             "doc_id": b["doc_id"], "token_ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), "n_tokens": np.diff(ends).tolist(),
             "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded], "round_trip": [d == (x or "") for d, x in zip(decoded, b["text"], strict=True)],
         }
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, run, f"doc_id {kind}, token_ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean")
+    return map_batches(rows, run, f"doc_id {kind}, token_ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean", ("text", SLICE))
 
 
 def decode_ids(rows: DataFrame, model: str = MODEL, ids: str = "token_ids", id_col: str = "doc_id") -> DataFrame:
