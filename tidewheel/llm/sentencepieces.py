@@ -10,8 +10,8 @@ their joint text by rank gives just these two pieces; a text's BPE encoding is
 the one path of which this holds at every step, so the same pass over the same
 automaton yields exactly the ids of the merge procedure in linear time.
 
-Chunks (a word with the spaces before it, or a line feed) are encoded once a
-worker and remembered, in two tables of bounded bytes, the older of which goes
+Chunks (a word with the spaces before it, or a line feed) that a worker meets
+again are remembered, in two tables of bounded bytes, the older of which goes
 when the newer is full; pieces never span two chunks.
 Characters outside the vocabulary become byte pieces. A literal U+2581, which
 the format would turn into a space, is also written as bytes, so that decoding
@@ -42,6 +42,8 @@ PAIRS = 500_000
 SLICE = 1 << 20
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _BYTE = 1, 6
+#: Marks of chunks seen once, by hash.
+_MARKS = 1 << 20
 
 #: Inside a character class: letters, without superscript and fraction digits.
 _LETTER = r"^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u2070-\u209f"
@@ -108,6 +110,7 @@ class Codec:
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
+        self.marks = bytearray(_MARKS)
         self.follows: dict[int, bool] = {}
         self._path = self._merge_path if self.bpe else self._best_path
 
@@ -200,13 +203,19 @@ class Codec:
         """Ids of a chunk that was not in the newer table when its text was begun."""
         if known := self.memory.get(chunk):
             return known
-        ids = self.older.get(chunk) or array(self.code, self._path(chunk.replace(" ", SPACE))).tobytes()
-        if len(chunk) <= 64:
-            need = getsizeof(chunk) + getsizeof(ids) + 64  # and about 64 in the table
-            if self.held + need > REMEMBERED:
-                self.memory, self.older, self.held = {}, self.memory, 0
-            self.memory[chunk] = ids
-            self.held += need
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array(self.code, self._path(chunk.replace(" ", SPACE))).tobytes()
+            at = hash(chunk) & _MARKS - 1
+            if not self.marks[at] or len(chunk) > 64:  # most chunks never come again
+                self.marks[at] = 1
+                return ids
+        need = getsizeof(chunk) + getsizeof(ids) + 64  # and about 64 in the table
+        if self.held + need > REMEMBERED:
+            self.memory, self.older, self.held = {}, self.memory, 0
+            self.marks[:] = bytes(_MARKS)
+        self.memory[chunk] = ids
+        self.held += need
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:
